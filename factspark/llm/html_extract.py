@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>"']|$)""", re.I)
+TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -37,7 +38,7 @@ SKIPPED_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisem
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|main|post|story|text|body)(?:$|[\s_-])", re.I)
 #: An opening tag ends these open ones first, as far as the given tags.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
-ENDS_P = BLOCKS - {"br", "option", "legend", "caption", "tr", "td", "th", "tbody", "thead", "tfoot"}
+CLOSES |= {tag: (CLOSES.get(tag, (set(),))[0] | {"p"}, CLOSES.get(tag, (set(), set()))[1] | {"button", "td", "th", "table", "article", "section", "div", "main", "body"}) for tag in BLOCKS - {"br", "option", "legend", "caption", "tr", "td", "th", "tbody", "thead", "tfoot"}}
 WHITE = re.compile(r"\s+")
 
 
@@ -72,20 +73,21 @@ def parse(page: str) -> list[Element]:
                     del open_[i:]
                     break
             continue
-        ends, stop = CLOSES.get(tag, (frozenset(), frozenset()))
-        if tag in ENDS_P:
-            ends, stop = ends | {"p"}, stop | {"button", "td", "th", "table", "article", "section", "div", "main", "body"}
-        for i in range(len(open_) - 1, 0, -1):
-            if tree[open_[i]].tag in ends:
-                del open_[i:]
-                break
-            if tree[open_[i]].tag in stop:
-                break
-        given = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3] or m[6] or "")}
-        names = f"{given.get('class', '')} {given.get('id', '')}".strip()
-        skipped = tag in SKIPPED_TAGS or given.get("role", "").lower() in SKIPPED_ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
-        if names and not skipped and tag not in ("html", "body"):
-            skipped = bool(SKIPPED_NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names)))
+        if tag in CLOSES:
+            ends, stop = CLOSES[tag]
+            for i in range(len(open_) - 1, 0, -1):
+                if tree[open_[i]].tag in ends:
+                    del open_[i:]
+                    break
+                if tree[open_[i]].tag in stop:
+                    break
+        names, skipped = "", tag in SKIPPED_TAGS
+        if (attributes := m[3] or m[6]) and TELLING.search(attributes):
+            given = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
+            names = f"{given.get('class', '')} {given.get('id', '')}".strip()
+            skipped = skipped or given.get("role", "").lower() in SKIPPED_ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
+            if names and not skipped and tag not in ("html", "body"):
+                skipped = bool(SKIPPED_NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names)))
         tree[open_[-1]].parts.append(len(tree))
         tree.append(Element(tag, names, skipped, open_[-1]))
         if tag in RAW:
