@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import decontaminate
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, table(spark, sf_dir, "labels"), C.work_dir(spark, "quality")), keep_columns=["doc_id"])
+
+
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,6 +32,12 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(manifest, folder)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_pages
 
@@ -49,5 +63,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages"), C.work_dir(spark, "warc")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_output, op5_html_extraction, op6_language_id, op8_nearest_neighbours, op9_warc)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_output, op3_decontamination, op5_html_extraction, op6_language_id, op8_nearest_neighbours, op9_warc)}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE}
