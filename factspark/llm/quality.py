@@ -1,6 +1,6 @@
 """Quality classifier: a weak-label model over heuristic labellers teaches a hashed linear scorer.
 
-Labellers look at a document's shares of odd signs, lone punctuation, repeated words, at word length and at a lexicon of words
+Labellers look at a document's shares of odd signs, lone punctuation, repeated words and runs of one word, at capitals, at word length and at a lexicon of words
 that labelled toxic documents have; given labels are one more labeller. They overlap and err. Expectation-maximisation over the
 counts of vote patterns of all documents estimates how each votes on good, junk and toxic documents; the posterior classes
 then train a linear scorer on hashed word presence, which judges every whole text without its label.
@@ -28,13 +28,15 @@ GOOD, JUNK, TOXIC = range(3)
 #: Bytes other than letters, digits, white space and the usual marks of prose.
 ODD = np.array([chr(i) in "#$%&*+/<=>@\\^_`{|}~" for i in range(256)])
 #: Edges of the bins that a share falls in, for each heuristic.
-EDGES = {"odd": (0.02, 0.1), "lone": (0.02, 0.1), "repeat": (0.65, 0.85), "short": (2.0, 3.0), "long": (12.0, 18.0), "lexicon": (0.5, 1.5), "label": (0.5, 1.5)}
+EDGES = {"odd": (0.02, 0.1), "lone": (0.02, 0.1), "repeat": (0.2, 0.35), "runs": (0.05, 0.2), "shout": (0.2, 0.5), "short": (2.0, 3.0), "long": (12.0, 18.0), "lexicon": (0.5, 1.5), "label": (0.5, 1.5)}
 NAMES = tuple(EDGES)
 #: P(vote | class) that EM starts from: rows good, junk, toxic; columns the three bins (for label: none, clean, bad kinds below).
 START = {
     "odd": ((0.90, 0.08, 0.02), (0.40, 0.20, 0.40), (0.90, 0.08, 0.02)),
     "lone": ((0.90, 0.08, 0.02), (0.50, 0.20, 0.30), (0.90, 0.08, 0.02)),
     "repeat": ((0.80, 0.18, 0.02), (0.60, 0.20, 0.20), (0.80, 0.18, 0.02)),
+    "runs": ((0.90, 0.08, 0.02), (0.60, 0.10, 0.30), (0.90, 0.08, 0.02)),
+    "shout": ((0.90, 0.08, 0.02), (0.60, 0.10, 0.30), (0.90, 0.08, 0.02)),
     "short": ((0.02, 0.08, 0.90), (0.20, 0.20, 0.60), (0.02, 0.08, 0.90)),
     "long": ((0.95, 0.04, 0.01), (0.60, 0.20, 0.20), (0.95, 0.04, 0.01)),
     "lexicon": ((0.97, 0.02, 0.01), (0.97, 0.02, 0.01), (0.10, 0.30, 0.60)),
@@ -71,12 +73,17 @@ def heuristics(texts: pa.Array, lexicon: np.ndarray) -> tuple[np.ndarray, np.nda
         total = np.concatenate([[0], np.cumsum(x)])
         return total[first[1:]] - total[first[:-1]]
 
+    same = np.zeros(len(bare.hash), np.int64)
+    same[1:] = bare.hash[1:] == bare.hash[:-1]
+    upper, lower = (buf >= 65) & (buf <= 90), (buf >= 97) & (buf <= 122)
     length = per_text(bare.end - bare.start, bare.first) / np.maximum(n_bare, 1)
     values = {
         "odd": per_text(with_odd, spaced.first) / some,
         "lone": per_text(lone, spaced.first) / some,
         # long texts repeat more by nature: distinct words against a power law of their number
         "repeat": 1 - np.diff(first) / np.maximum(n_bare, 1) ** 0.85,
+        "runs": per_text(same, bare.first) / np.maximum(n_bare, 1),
+        "shout": per_text(upper, off) / np.maximum(per_text(upper, off) + per_text(lower, off), 1),
         "short": length,
         "long": length,
         "lexicon": per_text(np.isin(h, lexicon).astype(np.int64), first),
