@@ -51,6 +51,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs, ~F.col("held_out")), keep=["doc_id", "held_out"])
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import search
 
@@ -63,5 +71,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages"), C.work_dir(spark, "warc")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_output, op3_decontamination, op5_html_extraction, op6_language_id, op8_nearest_neighbours, op9_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_output, op3_decontamination, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_nearest_neighbours, op9_warc)}
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE}
