@@ -71,5 +71,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages"), C.work_dir(spark, "warc")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_output, op3_decontamination, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_nearest_neighbours, op9_warc)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import link
+
+    return link(table(spark, sf_dir, "documents"), C.work_dir(spark, "jaccard"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_output, op3_decontamination, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_nearest_neighbours, op9_warc, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE}
