@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate
+from . import decontaminate, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), C.work_dir(spark, "substring")).drop("kept_text")
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract_pages
 
@@ -77,5 +83,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"), C.work_dir(spark, "jaccard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_output, op3_decontamination, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_nearest_neighbours, op9_warc, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_output, op3_decontamination, op4_substring_dedup, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_nearest_neighbours, op9_warc, op10_jaccard_join)}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op4_substring_dedup": substring.ORACLE}
