@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ids import relationship_id
 from ..functions.normalize import first_of
@@ -18,7 +19,7 @@ CONFIDENCE = {"CORROBORATES": 0.95, "LIKELY_CONTRADICTION": 0.60, "CONTRADICTS":
 FIELDS = ("id", "subject", "predicate", "normalized_value", "normalized_unit", "period_start", "period_end", "period_label", "scope", "status")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     memo: dict[tuple[str, str], float] = {}
 
