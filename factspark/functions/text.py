@@ -17,7 +17,7 @@ NO_CONTEXT = "(no relevant facts or evidence were found in the knowledge base)"
 
 def number_text(x: Column) -> Column:
     """A double without an exponent: whole numbers with one decimal, others as they are."""
-    return F.when(x == F.floor(x), F.concat(F.floor(x).cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(F.regexp_replace(x.cast("decimal(38,6)").cast("string"), r"0+$", ""))
+    return F.when(x == F.floor(x), F.concat(F.floor(x).cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(F.regexp_replace(x.cast("decimal(38,16)").cast("string"), r"0+$", ""))
 
 
 def fact_text(subject: Column, predicate: Column, raw_value: Column, raw_unit: Column, value: Column, unit: Column, period: Column, scope: Column, status: Column, source: Column) -> Column:
