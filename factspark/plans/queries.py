@@ -113,9 +113,9 @@ def infer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized(spark, sf_dir).select("id", "status")
 
 
-@query(ORACLE_FACTS + SQL_UNITS + f", z AS (SELECT *, {SQL_PERIODS} FROM v) SELECT normalized_unit, period_start, count(*) AS facts, CAST(sum(CAST(floor(normalized_value) AS BIGINT)) AS BIGINT) AS total FROM z GROUP BY 1, 2")
+@query(ORACLE_FACTS + SQL_UNITS + f", z AS (SELECT *, {SQL_PERIODS} FROM v) SELECT normalized_unit, period_start, count(*) AS facts, CAST(sum(CAST(floor(normalized_value / 1e7) AS BIGINT)) AS BIGINT) AS total FROM z GROUP BY 1, 2")
 def facts_by_unit_and_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalized(spark, sf_dir).groupBy("normalized_unit", "period_start").agg(F.count("*").alias("facts"), F.sum(F.floor("normalized_value")).alias("total"))
+    return normalized(spark, sf_dir).groupBy("normalized_unit", "period_start").agg(F.count("*").alias("facts"), F.sum(F.floor(F.col("normalized_value") / 1e7)).alias("total"))
 
 
 @query(ORACLE_FACTS + """ SELECT id, 'fa_' || substr(sha256(document_id || '||' || 'e' || id || ',' || 'f' || id || '||' || subject || '||' || predicate || '||' || raw_value || '||' || coalesce(period_label, '')), 1, 24) AS fact_id,
