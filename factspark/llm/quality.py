@@ -75,6 +75,7 @@ def heuristics(texts: pa.Array, lexicon: np.ndarray) -> tuple[np.ndarray, np.nda
 
     same = np.zeros(len(bare.hash), np.int64)
     same[1:] = bare.hash[1:] == bare.hash[:-1]
+    same[bare.first[:-1][n_bare > 0]] = 0  # a text's first word follows none
     upper, lower = (buf >= 65) & (buf <= 90), (buf >= 97) & (buf <= 122)
     length = per_text(bare.end - bare.start, bare.first) / np.maximum(n_bare, 1)
     values = {

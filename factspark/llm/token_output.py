@@ -181,7 +181,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     file.close()
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.zeros(int(by_rank.max()) + 1, np.uint32)
+        rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
         rank[by_rank] = np.arange(len(by_rank))
         for b in batches:
             out = [pack(rank[np.frombuffer(x.as_buffer(), "<u4")]) for x in b.column("ids")]
