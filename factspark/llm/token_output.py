@@ -30,8 +30,8 @@ MAGIC = b"FSTOK001"
 HEAD = "<QQQ"
 #: Ids in a block before it is written; a longer document makes a longer block.
 BLOCK_IDS = 1 << 20
-#: Words, and bare words, whose ids a worker keeps.
-MEMO = 400_000
+#: Words whose ids a worker keeps.
+MEMO = 900_000
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
 
 
@@ -59,15 +59,19 @@ def unpack(control: bytes, codes: bytes, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-#: A plain word: Latin letters that no normaliser changes beyond their case, then ASCII punctuation.
-PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+)([!-/:-@\[-`{-~]*)")
+#: Signs that a normaliser may change beyond their case, or that might spell a special token.
+UNSAFE = re.compile(r"[^\x00-\u012F\u0131-\u017F]|<\|")
+#: Punctuation between a Latin letter and the word's end; no apostrophe, which can start a token of letters.
+TRAILING = re.compile(r"(?<=[a-z\u00DF-\u00F6\u00F8-\u017F])[!-&(-/:-@\[-`{-~]+(?=[ \n]|\Z)")
+#: A plain word: lower-case Latin letters alone.
+PLAIN = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u012F\u0131-\u017F]+")
 
 
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins across a space or line feed, word by word through a memo.
 
-    Where the tokenizer's file lets letters and punctuation part and marks word ends, plain words are first cut there, and
-    the letters' ids are found by the tokenizer's own merges, many words in one call; all else goes through it as it is.
+    Where the tokenizer's file folds case, parts letters from punctuation and marks word ends, a Latin text is folded and cut there first, and
+    the ids of plain words are found by the tokenizer's own merges, many words in one call; all else goes through it as it is.
     """
 
     def __init__(self, path: str):
@@ -79,7 +83,6 @@ class WordEncoder:
             spec = json.load(f)
         self.by_word = splits_at_space(spec)
         self.memo: dict[str, bytes] = {"": b""}
-        self.bare: dict[str, bytes] = {"": b""}
         self.merges = None
         if self.by_word and splits_at_punctuation(spec):
             ends = [i for token, i in spec["model"]["vocab"].items() if token.endswith(spec["model"]["end_of_word_suffix"])]
@@ -98,26 +101,27 @@ class WordEncoder:
         if self.merges is None:
             self.memo.update(zip(missing, self.whole(missing), strict=True))
             return
-        cut = {w: m.groups() for w in missing if (m := PLAIN.fullmatch(w))}
-        cut = {w: (a.lower(), b) for w, (a, b) in cut.items()}
-        other = list((set(missing) - cut.keys() | {b for _, b in cut.values()}) - self.memo.keys())
+        plain = [w for w in missing if PLAIN.fullmatch(w)]
+        other = list(set(missing).difference(plain))
         self.memo.update(zip(other, self.whole(other), strict=True))
-        new = list({a for a, _ in cut.values()} - self.bare.keys())
-        if new:
-            ids = np.array(self.merges.encode(" ".join(new).translate(self.letters), add_special_tokens=False).ids, "<u4")
+        if plain:
+            ids = np.array(self.merges.encode(" ".join(plain).translate(self.letters), add_special_tokens=False).ids, "<u4")
             ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
             data, starts = ids.tobytes(), [0, *ends.tolist()]
-            self.bare.update((w, data[i:j]) for w, i, j in zip(new, starts[:-1], starts[1:], strict=True))
-        self.memo.update((w, self.bare[a] + self.memo[b]) for w, (a, b) in cut.items())
+            self.memo.update((w, data[i:j]) for w, i, j in zip(plain, starts[:-1], starts[1:], strict=True))
+
+    def cut(self, text: str) -> list[str]:
+        if self.merges is not None and not UNSAFE.search(text):
+            text = TRAILING.sub(r" \g<0>", text.lower())
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str], end: bytes) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers, with end appended."""
         if not self.by_word:
             return [x + end for x in self.whole(texts)]
-        for name in ("memo", "bare"):
-            if len(getattr(self, name)) > MEMO:
-                setattr(self, name, {"": b""})
-        split = [x.replace("\n", " ").split(" ") for x in texts]
+        if len(self.memo) > MEMO:
+            self.memo = {"": b""}
+        split = [self.cut(x) for x in texts]
         for part in C.chunks(set().union(*split) - self.memo.keys(), 20_000):
             self.learn(part)
         get = self.memo.__getitem__
