@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -30,20 +31,25 @@ MAGIC = b"FSTOK001"
 HEAD = "<QQQ"
 #: Ids in a block before it is written; a longer document makes a longer block.
 BLOCK_IDS = 1 << 20
+#: Text bytes that are encoded together: the more, the fewer words are looked up twice.
+ENCODE_BYTES = 1 << 23
 #: Words whose ids a worker keeps.
 MEMO = 900_000
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control bytes, code bytes) of ranks below 2 ** 32."""
+def pack(ranks: np.ndarray, sizes: np.ndarray | None = None) -> tuple[bytes, bytes]:
+    """(control bytes, code bytes) of the ranks below 2 ** 32 of documents with so many ids each (by default of one); a document's controls begin a byte."""
     ranks = np.ascontiguousarray(ranks, "<u4")
+    sizes = np.array([len(ranks)]) if sizes is None else sizes
     size = 1 + (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    padded = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    padded[: len(ranks)] = size - 1
-    control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1).astype(np.uint8)
-    keep = np.arange(4) < size[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    slots = (sizes + 3) // 4 * 4
+    shift = np.cumsum(slots) - slots - (np.cumsum(sizes) - sizes)
+    padded = np.zeros(int(slots.sum()), np.uint8)
+    padded[np.arange(len(ranks)) + np.repeat(shift, sizes)] = size - 1
+    quads = padded.reshape(-1, 4)
+    control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
+    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]].tobytes()
 
 
 def unpack(control: bytes, codes: bytes, sizes: np.ndarray) -> np.ndarray:
@@ -61,8 +67,9 @@ def unpack(control: bytes, codes: bytes, sizes: np.ndarray) -> np.ndarray:
 
 #: Signs that a normaliser may change beyond their case, or that might spell a special token.
 UNSAFE = re.compile(r"[^\x00-\u012F\u0131-\u017F]|<\|")
-#: Punctuation between a Latin letter and the word's end; no apostrophe, which can start a token of letters.
-TRAILING = re.compile(r"(?<=[a-z\u00DF-\u00F6\u00F8-\u017F])[!-&(-/:-@\[-`{-~]+(?=[ \n]|\Z)")
+#: Punctuation between a Latin letter and the word's end; no apostrophe, which can start a token of letters. It begins with the signs
+#: and looks back from them, so a search passes letters over quickly.
+TRAILING = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-z\u00DF-\u00F6\u00F8-\u017F].)[!-&(-/:-@\[-`{-~]*(?=[ \n]|\Z)")
 #: A plain word: lower-case Latin letters alone.
 PLAIN = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u012F\u0131-\u017F]+")
 
@@ -105,27 +112,52 @@ class WordEncoder:
         other = list(set(missing).difference(plain))
         self.memo.update(zip(other, self.whole(other), strict=True))
         if plain:
-            ids = np.array(self.merges.encode(" ".join(plain).translate(self.letters), add_special_tokens=False).ids, "<u4")
+            plain.sort(key=str.isascii)
+            at = sum(not w.isascii() for w in plain)
+            joined = " ".join(plain[:at]).translate(self.letters) + " " + " ".join(plain[at:])
+            ids = np.array(self.merges.encode(joined, add_special_tokens=False).ids, "<u4")
             ends = (np.flatnonzero(self.is_end[ids]) + 1) * 4
             data, starts = ids.tobytes(), [0, *ends.tolist()]
             self.memo.update((w, data[i:j]) for w, i, j in zip(plain, starts[:-1], starts[1:], strict=True))
 
-    def cut(self, text: str) -> list[str]:
-        if self.merges is not None and not UNSAFE.search(text):
+    def cut(self, text: str) -> str:
+        """The text with its words parted by spaces alone."""
+        if self.merges is not None and is_safe(text):
             text = TRAILING.sub(r" \g<0>", text.lower())
-        return text.replace("\n", " ").split(" ")
+        return text.replace("\n", " ")
 
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers, with end appended."""
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): text i has the ids first[i]:first[i + 1], the last of them end_id. Words are told apart once for all texts."""
+        end = struct.pack("<I", end_id)
         if not self.by_word:
-            return [x + end for x in self.whole(texts)]
+            coded = [x + end for x in self.whole(texts)]
+            return np.frombuffer(b"".join(coded), "<u4"), np.cumsum([0, *map(len, coded)]) // 4
         if len(self.memo) > MEMO:
             self.memo = {"": b""}
-        split = [self.cut(x) for x in texts]
-        for part in C.chunks(set().union(*split) - self.memo.keys(), 20_000):
+        split = pc.split_pattern(pa.array([self.cut(x) for x in texts], pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        for part in C.chunks((w for w in known if w not in self.memo), 20_000):
             self.learn(part)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, x)) + end for x in split]
+        parts = [self.memo[w] for w in known] + [end]
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        stop = np.cumsum(pc.list_value_length(split).to_numpy())
+        word = np.insert(coded.indices.to_numpy(), stop, len(known))
+        n = size[word]
+        after = np.cumsum(n)
+        # a text is below 2 GB, and an id takes a byte of it or more
+        place = np.repeat(((np.cumsum(size) - size)[word] - (after - n)).astype(np.int32), n) + np.arange(n.sum(), dtype=np.int32)
+        return ids[place], np.concatenate([[0], after[stop + np.arange(len(stop))]])
+
+
+def is_safe(text: str) -> bool:
+    """Whether nothing in it is UNSAFE; most texts are Latin-1, which is told at once."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return not UNSAFE.search(text)
+    return "<|" not in text
 
 
 def splits_at_space(spec: dict) -> bool:
@@ -159,20 +191,21 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     n_docs, n_ids, in ascending order of documents. The ranks come from counts over all documents; their number is
     bounded by the tokenizer's vocabulary."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    width = id_width(tokenizer, end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), struct.pack("<I", end_id)
-        for b in C.slices(batches, "text"):
-            ids = enc.encode([x or "" for x in b.column("text").to_pylist()], end)
+        enc = encoder(tokenizer)
+        for b in C.slices(batches, "text", ENCODE_BYTES):
+            ids, first = enc.encode([x or "" for x in b.column("text").to_pylist()], end_id)
             tie = pa.array(C.ranges_hash(*text_ranges(b.column("text"))).view(np.int64))
-            yield pa.record_batch([b.column("id"), tie, pa.array(ids, pa.binary())], ["id", "tie", "ids"])
+            yield pa.record_batch([b.column("id"), tie, C.blobs(ids.astype(width), first)], ["id", "tie", "ids"])
 
     coded = C.staged(docs.mapInArrow(encode, "id long, tie long, ids binary"), folder, "ids", compression="zstd")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            got = np.bincount(C.raw(b.column("ids"))[0].view("<u4"), minlength=len(total))
+            got = np.bincount(C.raw(b.column("ids"))[0].view(width), minlength=len(total))
             got[: len(total)] += total
             total = got
         seen = np.flatnonzero(total)
@@ -184,40 +217,42 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     file.write(by_rank.tobytes())
     file.close()
 
-    def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
-        rank[by_rank] = np.arange(len(by_rank))
-        for b in batches:
-            out = [pack(rank[np.frombuffer(x.as_buffer(), "<u4")]) for x in b.column("ids")]
-            sizes = [x.as_buffer().size // 4 for x in b.column("ids")]
-            yield pa.record_batch([b.column("id"), b.column("tie"), pa.array(sizes, pa.int64()), pa.array([x for x, _ in out], pa.binary()), pa.array([x for _, x in out], pa.binary())], ["id", "tie", "n", "control", "codes"])
-
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, out, n_docs, n_ids = TaskContext.get().partitionId(), None, 0, 0
-        for b in C.slices(batches, "codes", 2 * BLOCK_IDS):
+        rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
+        rank[by_rank] = np.arange(len(by_rank))
+        for b in C.slices(batches, "ids", BLOCK_IDS * np.dtype(width).itemsize):
             if out is None:
                 out = C.AtomicFile(path := f"{folder}/{shard:06d}.tok")
                 out.write(MAGIC)
-            sizes = b.column("n").to_numpy()
-            codes = C.raw(b.column("codes"))[0].tobytes()
+            ids, first = C.raw(b.column("ids"))
+            sizes = np.diff(first) // np.dtype(width).itemsize
+            control, codes = pack(rank[ids.view(width)], sizes)
             out.write(struct.pack(HEAD, len(sizes), sizes.sum(), len(codes)))
             out.write(np.array(b.column("id").fill_null(0).to_numpy(), "<i8").tobytes())
             out.write(np.array(b.column("id").is_valid().to_numpy(zero_copy_only=False), np.uint8).tobytes())
             out.write(sizes.astype("<i8").tobytes())
-            out.write(C.raw(b.column("control"))[0].tobytes())
+            out.write(control)
             out.write(codes)
             n_docs, n_ids = n_docs + len(sizes), n_ids + int(sizes.sum())
         if out is not None:
             out.close()
             yield pa.record_batch([[shard], [path], [n_docs], [n_ids]], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    packed = coded.mapInArrow(recode, "id long, tie long, n long, control binary, codes binary")
-    ordered = packed.repartitionByRange("id").sortWithinPartitions("id", "tie")
+    # ranks and codes are made behind the exchange: Spark reads what is in front of it twice, the first time for the ranges' bounds
+    ordered = coded.repartitionByRange("id").sortWithinPartitions("id", "tie")
     manifest = C.staged(ordered.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), folder, "manifest")
     C.drop(docs.sparkSession, f"{folder}/ids")
     return manifest
 
 
+def id_width(tokenizer: str, end_id: int) -> str:
+    """The narrowest type that holds all ids, for what is stored on the way."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if max(end_id, *Tokenizer.from_file(tokenizer).get_vocab().values()) < 1 << 16 else "<u4"
+
+
 def text_ranges(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf, off = C.raw(texts)
     return buf, off[:-1], off[1:]
