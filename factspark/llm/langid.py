@@ -24,6 +24,7 @@ from . import common as C
 
 #: Rows that the classifiers are fitted on, at most.
 SAMPLE = 4000
+SALTS = 256
 FEATURES = 1 << 11
 ORDERS = (1, 2, 3)
 AMBIGUOUS = 0.5
@@ -104,7 +105,9 @@ def train(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: st
         return None
     quota = max(1, sample // langs)
     order = W.partitionBy("lang").orderBy("h")
-    hashed = rows.select("lang", F.xxhash64("text").alias("h"))
+    # the first of each salt, then of those, at most SALTS * quota rows for each language: no task gathers a frequent one's rows
+    hashed = rows.select("lang", F.xxhash64("text").alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    hashed = hashed.withColumn("place", F.row_number().over(W.partitionBy("lang", "salt").orderBy("h"))).where(F.col("place") <= quota)
     cut = hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota).groupBy("lang").agg(F.max("h").alias("cut"))
     picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(cut), "lang").where("h <= cut").dropDuplicates(["lang", "h"])
 
