@@ -45,6 +45,8 @@ class Pieces:
         self.byte = {int(text[i][1:-1], 16): i for i in range(size) if m.is_byte(i)}
         plain = [i for i in range(size) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         self.scores = {text[i]: (m.get_score(i), i) for i in plain}
+        #: Every piece, and () for what only begins one: the lattice looks no further where nothing begins so.
+        self.starts = {t[:k]: () for t in self.scores for k in range(1, len(t))} | self.scores
         self.longest = max(map(len, self.scores), default=1)
         self.unknown = min((s for s, _ in self.scores.values()), default=0.0) - 10
         self.unknown_id = m.unk_id()
@@ -64,13 +66,15 @@ class Pieces:
 
     def lattice(self, part: str) -> tuple[list[float], list[list[tuple[float, int, tuple]]]]:
         """Best score from the start to each position, and the edges (score, start, ids) that end at each."""
-        n, get = len(part), self.scores.get
+        n, get = len(part), self.starts.get
         best = [0.0] + [-np.inf] * n
         edges: list[list] = [[] for _ in range(n + 1)]
         for i in range(n):
             here, covered = best[i], False
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                if got := get(part[i:j]):
+                if (got := get(part[i:j])) is None:
+                    break
+                if got:
                     covered |= j == i + 1
                     edges[j].append((got[0], i, (got[1],)))
                     if here + got[0] > best[j]:
