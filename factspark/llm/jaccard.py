@@ -4,12 +4,13 @@ A document is the set of its five-word shingles (fewer words: one shingle, all o
 MinHash values. From the root, a path is extended by coordinates that its own hash samples, with FANOUT of them on average, and by the
 class's values there; so two classes share a path if they agree on every value sampled along it. A class's paths need no look at others, and those of DEPTH
 steps are computed at once; nodes that more than BUCKET classes share are split further, level by level. Buckets are then compared
-by brute force on their embeddings. RUNS independent runs bring the chance that two classes of the threshold's similarity meet to RECALL at least.
+by brute force on their embeddings. RUNS independent runs bring the chance that two classes of the threshold's similarity meet to RECALL at least,
+at the deepest level and with the deviation of T MinHash values counted in.
 
 What meets is joined to candidate components, and within each every pair is compared exactly, in blocks of BLOCK classes, so no link inside is lost to
 sampling and none is emitted as a row of its own: a block pair gives each class's number of links and a spanning forest. Classes that
-still share a large bucket after DEEPEST steps form a dense cluster, which no further split would part and which would only multiply their paths: it is
-compared block by block, and the blocks' representatives again, until one block is left.
+still share a large bucket after DEEPEST steps are mostly a dense cluster, which no further split would part and which would only multiply their paths. Blocks of
+it are compared first; then, of all its pairs, those that no candidate component holds yet, in pairs of blocks.
 
 Null or empty texts have no shingles and are alone. Repeated rows are copies of one class; a null id is never the name of a class that
 has another id. Links count other classes, not copies. An empty table gives no row.
@@ -17,6 +18,7 @@ has another id. Links count other classes, not copies. An empty table gives no r
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -49,7 +51,13 @@ def meeting_chance(similarity: float, depth: int = DEPTH) -> float:
     return 1 - dead
 
 
-RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - meeting_chance(THRESHOLD)))
+def miss_chance(similarity: float, depth: int, runs: int) -> float:
+    """That two classes share no path of this depth in any run; of T MinHash values a binomial number agree."""
+    agree = (math.comb(T, k) * similarity**k * (1 - similarity) ** (T - k) for k in range(T + 1))
+    return sum(p * (1 - meeting_chance(k / T, depth)) ** runs for k, p in enumerate(agree))
+
+
+RUNS = next(n for n in itertools.count(1) if miss_chance(THRESHOLD, DEEPEST, n) <= 1 - RECALL)
 
 
 def embed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -122,8 +130,7 @@ def embeddings_of(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def compare_bucket(t: pa.Table) -> pa.Table:
-    """Edges (a, b, again) among the classes of one block of a bucket; again marks the representatives, to be compared with other
-    blocks'."""
+    """A spanning forest (a, b) of the near classes of a bucket, or of one block of it."""
     node, e = t["node"].to_numpy(), embeddings_of(t["e"])
     _, keep = np.unique(node, return_index=True)
     node, e = node[keep], e[keep]
@@ -131,14 +138,43 @@ def compare_bucket(t: pa.Table) -> pa.Table:
     for i in range(len(node)):
         near[i] = (e == e[i]).mean(axis=1) >= NEAR
     tree = forest(near)
-    u = Union(len(node))
-    for a, b in tree:
-        u.join(a, b)
-    heads = sorted({u.find(i) for i in range(len(node))})
-    a = [node[x] for x, _ in tree] + [node[x] for x in heads]
-    b = [node[y] for _, y in tree] + [node[x] for x in heads]
-    path = t["path"][0].as_py()
-    return pa.table([pa.array([path] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["path", "a", "b"])
+    return pa.table([pa.array([node[x] for x, _ in tree], pa.int64()), pa.array([node[y] for _, y in tree], pa.int64())], ["a", "b"])
+
+
+def compare_roots(t: pa.Table) -> pa.Table:
+    """Edges (a, b) that join the roots of near classes: each class marked apart is compared with each unmarked one of another root."""
+    node, e, apart = t["node"].to_numpy(), embeddings_of(t["e"]), t["apart"].to_numpy(zero_copy_only=False)
+    _, root = np.unique(t["root"].to_numpy(), return_inverse=True)
+    others = np.flatnonzero(~apart)
+    u, a, b = Union(len(node)), [], []
+    for i in np.flatnonzero(apart):
+        near = others[((e[others] == e[i]).mean(axis=1) >= NEAR) & (root[others] != root[i])]
+        for j in near[np.unique(root[near], return_index=True)[1]]:
+            if u.join(int(root[i]), int(root[j])):
+                a.append(node[i])
+                b.append(node[j])
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def across_blocks(large: DataFrame, embedding: DataFrame, first: DataFrame, folder: str) -> DataFrame | None:
+    """Edges between classes of one large bucket that first leaves in different components; None if there are no such classes.
+    Two classes of different roots are not both in the bucket's largest, so the classes outside it are compared with all."""
+    rooted = C.staged(large.select("path", "node").join(first, "node", "left").select("path", "node", F.coalesce("root", "node").alias("root")), folder, "rooted")
+    sizes = rooted.groupBy("path", "root").agg(F.count("*").alias("c")).groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.sum("c").alias("n"), F.max("c").alias("most"))
+    mixed = C.staged(sizes.where("n > most").select("path", "top", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("rows"), F.ceil(F.col("n") / BLOCK).alias("columns")), folder, "mixed")
+    if mixed.isEmpty():
+        return None
+
+    def each(number: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), (F.col(number) - 1).cast("int")))
+
+    def block(number: str) -> F.Column:
+        return F.pmod(F.xxhash64("node"), F.col(number)).cast("int")
+
+    placed = rooted.join(mixed, "path").join(embedding, "node")
+    apart = placed.where("root <> top").select("path", "node", "root", "e", F.lit(True).alias("apart"), block("rows").alias("i"), each("columns").alias("j"))
+    every = placed.select("path", "node", "root", "e", F.lit(False).alias("apart"), each("rows").alias("i"), block("columns").alias("j"))
+    return C.staged(apart.union(every).groupBy("path", "i", "j").applyInArrow(compare_roots, "a long, b long"), folder, "across")
 
 
 def compare_sets(values: np.ndarray, first: np.ndarray, threshold: float) -> np.ndarray:
@@ -248,24 +284,12 @@ def link(docs: DataFrame, folder: str, threshold: float = THRESHOLD, id_col: str
     buckets = found[0]
     for x in found[1:]:
         buckets = buckets.union(x)
-    edges: list[DataFrame] = []
-    step = 0
-    while True:
-        salt = F.pmod(F.xxhash64("node", F.lit(step)), F.ceil(F.col("n") / BUCKET))
-        got = C.staged(buckets.join(embedding, "node").withColumn("part", F.when(F.col("n") > BUCKET, salt).otherwise(F.lit(0))).groupBy("path", "part").applyInArrow(compare_bucket, "path long, a long, b long"), folder, f"edges-{step}")
-        edges.append(got.where("a <> b").select("a", "b"))
-        # representatives of a bucket that was cut into blocks meet again, in fewer blocks
-        cut = buckets.where(F.col("n") > BUCKET).select("path", "n").distinct()
-        heads = got.where("a = b").join(cut.select("path", F.col("n").alias("before")), "path").select("path", F.col("a").alias("node"), "before").distinct()
-        counts = heads.groupBy("path").agg(F.count("*").alias("n"))
-        buckets = C.staged(heads.join(counts, "path").where("n > 1 and n < before").select("path", "node", "n"), folder, f"heads-{step}")
-        if buckets.isEmpty():
-            break
-        step += 1
-    candidates = edges[0]
-    for x in edges[1:]:
-        candidates = candidates.union(x)
-    member = C.staged(components(candidates, f"{folder}/near"), folder, "candidates")
+    part = F.when(F.col("n") > BUCKET, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BUCKET))).otherwise(F.lit(0))
+    edges = C.staged(buckets.join(embedding, "node").withColumn("part", part).groupBy("path", "part").applyInArrow(compare_bucket, "a long, b long"), folder, "edges")
+    member = C.staged(components(edges, f"{folder}/near"), folder, "near-roots")
+    if not large.isEmpty() and (across := across_blocks(large, embedding, member, folder)) is not None:
+        joined = member.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across)
+        member = C.staged(components(joined, f"{folder}/nearer"), folder, "candidates")
     sizes = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # one text for each class to be compared: of the rows with its least id, any has its set or is passed over

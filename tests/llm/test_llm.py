@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import math
 import os
 import random
 import re
@@ -164,6 +165,29 @@ def test_runs_reach_the_recall():
     assert 1 - (1 - jaccard.meeting_chance(0.8)) ** jaccard.RUNS >= jaccard.RECALL
 
 
+def test_runs_reach_the_recall_at_the_deepest_level():
+    rng = np.random.default_rng(1)
+    met, n = 0, 4000
+    for _ in range(n):
+        e = rng.integers(0, 1 << 16, (2, jaccard.T)).astype(np.uint16)
+        e[1] = np.where(rng.random(jaccard.T) < 0.8, e[0], e[1])
+        p, r = jaccard.paths_of(e, jaccard.DEEPEST)
+        met += len(np.intersect1d(p[r == 0], p[r == 1])) > 0
+    assert met >= n * jaccard.RECALL - 3 * math.sqrt(n * (1 - jaccard.RECALL)) and jaccard.miss_chance(0.8, jaccard.DEEPEST, jaccard.RUNS) <= 1 - jaccard.RECALL
+
+
+def test_jaccard_join_compares_all_blocks_of_a_large_bucket(spark, folder, monkeypatch):
+    for name, value in {"BUCKET": 4, "BLOCK": 3, "NEAR": 0.95, "DEEPEST": jaccard.DEPTH}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(7)
+    shared, rows = prose(rng, 900), []
+    for i in range(50):  # rows of different pairs are in the same large buckets, but only the two of a pair are near
+        own = prose(rng, 100)
+        rows += [(2 * i, f"{shared} {own} a"), (2 * i + 1, f"{shared} {own} b")]
+    got = {r.doc_id: r for r in jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), folder, threshold=0.97).collect()}
+    assert [(got[i].class_id, got[i].n_links) for i in range(100)] == [(i - i % 2, 1) for i in range(100)]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href='/'>Menu</a></nav><div class="cookie-notice">Accept</div><div id="main"><article class="post"><h1>Head &amp; more</h1><p>First <b>bold</b>text
 of it.<p>Second &lt;x&gt; part<br>line<script>var a="</p><p>no";</script><form><input value=x>Send</form></p><aside>Side</aside><ul><li>one<li>two</ul></article><section class="comments"><p>Nice!</p></section></div><footer>Foot</footer></body></html>"""
 
