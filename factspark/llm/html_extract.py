@@ -3,7 +3,9 @@
 Each page's containers are scored; the best one's generalised path (tags with their classes, digits cut) is a vote of the
 page. Spark counts the votes by host, and the page is extracted again from the elements on its host's winning path; a page
 without such an element uses its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments are left out, by tag, role, class or id.
+styles and comments are left out, by tag, role, class or id. A name counts by its leading part or as a whole, never by a part inside, and an id says
+nothing of headings and paragraphs. No element is left out by name that holds the page's article or main, or, if none is outside, most of the page's unlinked
+text; only readers' comments, adverts and consent texts are, however long, if they hold no article.
 
 Null html is empty and gives empty text; a null url, or one without a host, belongs to the host ''. Repeated rows vote and
 return once each; an empty table gives no row. Broken markup is read as browsers do in outline: unknown end tags are ignored,
@@ -14,8 +16,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +37,14 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 CONTAINERS = frozenset("article main section div td body".split())
 SKIPPED_TAGS = RAW | frozenset("head nav header footer aside form button select label menu dialog input".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
-#: Parts of class and id names of what is not the article.
-SKIPPED_NAMES = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumbs?|comments?|comment-?list|disqus|respond|replies|reply|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|footer|header|masthead|menu|nav|navbar|navigation|newsletter|subscribe|subscription|signup|login|promo|promoted|related|recommended|share|sharing|social|sidebar|side|skip|sponsor|sponsored|toolbar|widget|widgets|pagination|pager)(?:$|[\s_-])", re.I)
+#: Parts of class and id names of what is not the article: alone or with other such parts, numbers and parts that tell the place.
+OTHERS = frozenset("comment comments commentlist disqus respond replies reply ad ads adv advert adverts advertisement advertising cookie cookies consent gdpr".split())
+SKIPPED_NAMES = OTHERS | frozenset("banner breadcrumb breadcrumbs notice notices notification alert popup modal overlay footer header masthead menu nav navbar navigation newsletter subscribe subscription signup login promo promoted related recommended share sharing social sidebar side skip sponsor sponsored toolbar widget widgets pagination pager".split())
+PLACES = frozenset("area articles bar block bottom box btn button buttons center col column container entry form global google group holder icon icons inner item items left link links list lower main middle outer page panel post posts primary region right row secondary section site slot sticky stories tertiary title to top unit upper wrap wrapper zone".split())
+#: Skipped names that also begin names of article parts (side-by-side, social-impact), so that their leading part tells nothing.
+COMMON = frozenset("alert notice notices related share sharing side skip social".split())
+ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|main|post|story|text|body)(?:$|[\s_-])", re.I)
 #: An opening tag ends these open ones first, as far as the given tags.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
@@ -48,9 +58,53 @@ class Element:
     names: str = ""
     skipped: bool = False
     parent: int = -1
+    named: frozenset = frozenset()  # the skipped names, if nothing else leaves it out
     parts: list = field(default_factory=list)  # texts, and numbers of child elements, in page order
 
 
+def skipped_names(tag: str, classes: str, id_: str) -> frozenset:
+    """The skipped names that leave an element out: those of whole classes or ids, and of the leading parts of classes."""
+    found: set = set()
+    for is_id, token in [(False, x) for x in classes.split()] + [(True, x) for x in id_.split() if tag not in ANCHORS]:
+        parts = [x for x in re.split(r"[-_]+", CAMEL.sub("-", token).lower()) if x]
+        told = SKIPPED_NAMES.intersection(parts)
+        if told and (all(x in SKIPPED_NAMES or x in PLACES or x.isdigit() for x in parts) or not is_id and parts[0] in SKIPPED_NAMES - COMMON):
+            found |= told
+    return frozenset(found)
+
+
+def spare(tree: list[Element]) -> None:
+    """Keeps elements left out by name that hold an article or main, unless one outside has over twice its unlinked text, and those
+    that hold most of the page's unlinked text if no article or main is outside."""
+    n = len(tree)
+    out, plain, inside, last = [False] * n, [0] * n, [0] * n, list(range(n))
+    for i, e in enumerate(tree[1:], 1):
+        out[i] = out[e.parent] or e.skipped and not e.named
+    bodies = []
+    for i in range(n - 1, -1, -1):
+        e = tree[i]
+        if out[i] or e.tag == "a":
+            plain[i] = 0
+        else:
+            plain[i] += sum(len(x.strip()) for x in e.parts if isinstance(x, str))
+        held = inside[i]
+        if e.tag in ("article", "main") and not out[i] and not e.skipped and plain[i]:
+            bodies.append(i)
+            held = max(held, plain[i])
+        if e.parent >= 0:
+            plain[e.parent] += plain[i]
+            inside[e.parent] = max(inside[e.parent], held)
+            last[e.parent] = max(last[e.parent], last[i])
+    ended = sorted(bodies, key=last.__getitem__)
+    ends, before = [last[i] for i in ended], list(accumulate((plain[i] for i in ended), max, initial=0))
+    starts, after = [-i for i in bodies], list(accumulate((plain[i] for i in bodies), max, initial=0))
+    for i, e in enumerate(tree):
+        if e.named:
+            outside = max(before[bisect_left(ends, i)], after[bisect_left(starts, -last[i])])
+            if inside[i] and 2 * inside[i] >= outside or not outside and 2 * plain[i] > plain[0] and not e.named & OTHERS:
+                e.skipped = False
+
+
 def parse(page: str) -> list[Element]:
     """The elements of a page; element 0 is the root."""
     tree, open_ = [Element("")], [0]
@@ -81,15 +135,16 @@ def parse(page: str) -> list[Element]:
                     break
                 if tree[open_[i]].tag in stop:
                     break
-        names, skipped = "", tag in SKIPPED_TAGS
+        names, skipped, named = "", tag in SKIPPED_TAGS, frozenset()
         if (attributes := m[3] or m[6]) and TELLING.search(attributes):
             given = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
             names = f"{given.get('class', '')} {given.get('id', '')}".strip()
             skipped = skipped or given.get("role", "").lower() in SKIPPED_ROLES or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").replace(" ", "").lower()
             if names and not skipped and tag not in ("html", "body"):
-                skipped = bool(SKIPPED_NAMES.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names)))
+                named = skipped_names(tag, given.get("class", ""), given.get("id", ""))
+                skipped = bool(named)
         tree[open_[-1]].parts.append(len(tree))
-        tree.append(Element(tag, names, skipped, open_[-1]))
+        tree.append(Element(tag, names, skipped, open_[-1], named))
         if tag in RAW:
             low = low if low is not None else page.lower()
             end = low.find(f"</{tag}", at)
@@ -100,6 +155,8 @@ def parse(page: str) -> list[Element]:
         elif tag not in VOID:
             open_.append(len(tree) - 1)
     text(len(page))
+    if any(e.named for e in tree):
+        spare(tree)
     return tree
 
 

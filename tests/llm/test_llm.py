@@ -200,6 +200,30 @@ def test_html_extraction(spark, folder):
     assert (got[3].text, got[4].text, got[5].text, got[6].text) == ("", "", "just text & more", "broken one two")
 
 
+TEXT = "A sentence of the article that is long enough to be its text. " * 5
+KEPT = TEXT.strip()
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "site no-sidebar", "page has-header", "widget", "sidebar-layout", "social"])
+def test_names_of_a_wrapper_lose_no_article(name):
+    for inner in (f"<article><p>{TEXT}</p></article>", f"<main>{TEXT}</main>", f"<p>{TEXT}</p>"):
+        for attribute in ("class", "id"):
+            assert html_extract.extract(f'<body><div {attribute}="{name}">{inner}</div><div class="site-footer">Foot</div></body>') == KEPT
+
+
+@pytest.mark.parametrize("part", ['<h2 id="related-work">Part</h2>', '<section id="social-impact">Part</section>', '<p id="side-effects">Part</p>', '<h3 id="comments">Part</h3>', '<div class="side-by-side">Part</div>'])
+def test_slugs_lose_no_article_text(part):
+    assert html_extract.extract(f"<article><p>{TEXT}</p>{part}</article>") == KEPT + " Part"
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-slot-3", "adBanner", "site-header", "page-footer", "main-nav", "cookie-notice", "related-posts", "share_buttons", "sidebar-left", "newsletter-cta", "comments-area", "post-comments"])
+def test_names_of_what_is_not_the_article(name):
+    assert html_extract.extract(f'<main><p>{TEXT}</p><div class="{name}"><p>Other</p></div></main>') == KEPT
+    assert html_extract.extract(f'<main><p>{TEXT}</p><div class="{name}"><article>Other</article></div></main><p>Outside</p>').startswith(KEPT)
+    assert html_extract.extract(f'<div><article><p>{TEXT}</p></article><div class="comments"><div><article class="comment">{TEXT * 9}</article></div></div></div>') == KEPT
+    assert html_extract.extract(f'<div class="{name}">{TEXT}</div><article><h1>Short.</h1></article>') == "Short."
+
+
 def test_language_id(spark):
     rng = random.Random(2)
     syllables = {"aa": ["ka", "ro", "mi"], "bb": ["thu", "shem", "gal"], "cc": ["ñe", "öl", "çé"]}
