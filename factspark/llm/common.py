@@ -6,16 +6,20 @@ computed for all words of a batch at once, without a Python loop over words.
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -27,11 +31,27 @@ STEP_BYTES = 1 << 21
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir; only where that is unset, as in tests, below a local folder."""
+    """A new folder's URI below spark.checkpoint.dir; only where that is unset on a single machine, as in tests, below a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "factspark-work")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+#: Work folders of this session, oldest first.
+_made: list[str] = []
+
+
+@contextmanager
+def dropped_after(spark: SparkSession):
+    """Deletes the work folders that are made inside, when it ends."""
+    before = len(_made)
+    yield
+    while len(_made) > before:
+        drop(spark, _made.pop())
 
 
 def staged(df: DataFrame, folder: str, name: str, **options: str) -> DataFrame:
@@ -50,8 +70,6 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI, for use in executors."""
-    import pyarrow.fs as pafs
-
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if "://" not in uri:
@@ -59,6 +77,15 @@ def filesystem(uri: str):
     return pafs.FileSystem.from_uri(uri)
 
 
+def parquet_batches(folder: str, rows: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """All rows of a folder of Parquet files, read in a task, in batches."""
+    fs, at = filesystem(folder)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(at)), key=lambda x: x.path):
+        if info.path.endswith(".parquet"):
+            with fs.open_input_file(info.path) as f:
+                yield from pq.ParquetFile(f).iter_batches(rows)
+
+
 class AtomicFile:
     """A file that appears under its name only when it is whole, so a retried or doubled task does no harm."""
 
@@ -79,6 +106,38 @@ class AtomicFile:
 # ---------------------------------------------------------------- Arrow batches
 
 
+def tidied(kernel):
+    """The kernel of a mapInArrow, after whose last batch the worker gives freed memory back: Spark keeps workers for later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def tidied_group(kernel):
+    """The same for the kernel of an applyInArrow, after each group."""
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return kernel(table)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, as far as the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most step bytes of text, or of one row."""
     for batch in batches:
@@ -129,8 +188,7 @@ PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-P = U64(0x9E3779B97F4A7C15 | 1)
-P_INVERSE = U64(pow(int(P), -1, 1 << 64))
+P = U64(0x9E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -142,19 +200,20 @@ def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
         return h ^ (h >> U64(31))
 
 
-_powers: dict[str, np.ndarray] = {}
+#: A value for each byte at each of a word's first places; those of later places are computed.
+PLACES = 64
+_values: list[np.ndarray] = []
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P ** i and its inverse for i up to n."""
-    if len(_powers.get("p", ())) < n + 1:
-        for name, base in (("p", P), ("q", P_INVERSE)):
-            table = np.full(max(n + 1, STEP_BYTES + 1), base, U64)
-            table[0] = 1
-            with np.errstate(over="ignore"):
-                np.multiply.accumulate(table, out=table)
-            _powers[name] = table
-    return _powers["p"][: n + 1], _powers["q"][: n + 1]
+def byte_values(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """An independent value for each (byte, place): tabulation, so no structure of a text makes two words alike."""
+    if not _values:
+        _values.append(mix(np.arange(PLACES * 256, dtype=U64), 17))
+    out = _values[0][np.minimum(place, PLACES - 1) * 256 + byte]
+    late = np.flatnonzero(place >= PLACES)
+    if len(late):
+        out[late] = mix(place[late].astype(U64) * U64(256) + byte[late].astype(U64), 17)
+    return out
 
 
 @dataclass
@@ -171,6 +230,13 @@ class Words:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def spelled(self) -> pa.LargeBinaryArray:
+        """The words themselves."""
+        size = self.end - self.start
+        off = np.concatenate([[0], np.cumsum(size)])
+        data = self.buf[np.arange(off[-1]) + np.repeat(self.start - off[:-1], size)]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)])
+
 
 def words(texts: pa.Array, separators: np.ndarray = SPACE, fold: bool = False) -> Words:
     buf, off = raw(texts)
@@ -190,25 +256,49 @@ def words(texts: pa.Array, separators: np.ndarray = SPACE, fold: bool = False) -
 
 
 def ranges_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each byte range, by prefix sums of a polynomial modulo 2 ** 64."""
+    """A hash of each byte range; ranges ascend and do not overlap."""
     if not len(start):
         return np.zeros(0, U64)
-    p, q = powers(len(buf))
+    low = int(start[0])
+    place = np.arange(low, len(buf), dtype=np.int64) - np.repeat(start, np.diff(np.append(start, len(buf))))
+    total = np.zeros(len(place) + 1, U64)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(buf) + 1, U64)
-        np.cumsum((buf.astype(U64) + U64(1)) * p[:-1], out=total[1:])
-        return mix((total[end] - total[start]) * q[start] + (end - start).astype(U64))
+        np.cumsum(byte_values(buf[low:], place), out=total[1:])
+        return mix(total[end - low] - total[start - low] + (end - start).astype(U64))
+
+
+def doubled(h: np.ndarray, step: int) -> np.ndarray:
+    """The hashes of two runs of words, the second step words after the first; void where a second is missing."""
+    out = np.zeros(len(h), U64)
+    if step < len(h):
+        with np.errstate(over="ignore"):
+            out[:-step] = mix(h[:-step] * P + h[step:], step)
+    return out
 
 
 def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the k words that start at each word, and whether all k belong to one text (else the hash is void)."""
-    n = len(w.hash)
-    h = np.zeros(n, U64)
-    left = np.repeat(w.first[1:], np.diff(w.first)) - np.arange(n)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            h[: n - i or None] += w.hash[i:] * U64(pow(int(P), 2 * i + 1, 1 << 64)) if i < n else U64(0)
-    return mix(h, k), left >= k
+    h, width = w.hash, 1
+    while width < k:
+        step = min(width, k - width)
+        h = doubled(h, step)
+        width += step
+    return mix(h, k), np.repeat(w.first[1:], np.diff(w.first)) - np.arange(len(h)) >= k
+
+
+def span_hash(w: Words, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of the words first:stop, of any number above 0."""
+    size, out = stop - first, np.zeros(len(first), U64)
+    h, width = w.hash, 1
+    while len(size):
+        pick = np.flatnonzero((size >= width) & (size < 2 * width))
+        with np.errstate(over="ignore"):
+            out[pick] = mix(h[first[pick]] * P + h[stop[pick] - width] + size[pick].astype(U64), 41)
+        if size.max() < 2 * width:
+            break
+        h = doubled(h, width)
+        width *= 2
+    return out
 
 
 def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -220,12 +310,7 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     h, row = h[ok], row[ok]
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
-        extra = np.zeros(len(short), U64)
-        with np.errstate(over="ignore"):
-            for i in range(k - 1):
-                has = count[short] > i
-                extra[has] += w.hash[w.first[short[has]] + i] * U64(pow(int(P), 2 * i + 1, 1 << 64))
-        h = np.concatenate([h, mix(extra, 1000)])
+        h = np.concatenate([h, mix(span_hash(w, w.first[short], w.first[short + 1]), 1000)])
         row = np.concatenate([row, short])
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
