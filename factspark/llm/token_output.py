@@ -34,7 +34,7 @@ BLOCK_IDS = 1 << 20
 #: Text bytes that are encoded together: the more, the fewer words are looked up twice.
 ENCODE_BYTES = 1 << 23
 #: Words whose ids a worker keeps.
-MEMO = 900_000
+MEMO = 600_000
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.int64)
 
 
@@ -70,7 +70,7 @@ UNSAFE = re.compile(r"[^\x00-\u012F\u0131-\u017F]|<\|")
 #: Punctuation between a Latin letter and the word's end; no apostrophe, which can start a token of letters. It begins with the signs
 #: and looks back from them, so a search passes letters over quickly.
 TRAILING = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-z\u00DF-\u00F6\u00F8-\u017F].)[!-&(-/:-@\[-`{-~]*(?=[ \n]|\Z)")
-#: A plain word: lower-case Latin letters alone.
+#: Latin letters alone; a word of them is plain if it has no capital.
 PLAIN = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u012F\u0131-\u017F]+")
 
 
@@ -108,7 +108,7 @@ class WordEncoder:
         if self.merges is None:
             self.memo.update(zip(missing, self.whole(missing), strict=True))
             return
-        plain = [w for w in missing if PLAIN.fullmatch(w)]
+        plain = [w for w in missing if PLAIN.fullmatch(w) and w == w.lower()]
         other = list(set(missing).difference(plain))
         self.memo.update(zip(other, self.whole(other), strict=True))
         if plain:
@@ -190,17 +190,16 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     """Writes folder/ranks.bin (ids by falling count, then by id, as <u4) and folder/*.tok; returns the manifest: shard, path,
     n_docs, n_ids, in ascending order of documents. The ranks come from counts over all documents; their number is
     bounded by the tokenizer's vocabulary."""
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
     width = id_width(tokenizer, end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in C.slices(batches, "text", ENCODE_BYTES):
             ids, first = enc.encode([x or "" for x in b.column("text").to_pylist()], end_id)
-            tie = pa.array(C.ranges_hash(*text_ranges(b.column("text"))).view(np.int64))
-            yield pa.record_batch([b.column("id"), tie, C.blobs(ids.astype(width), first)], ["id", "tie", "ids"])
+            yield pa.record_batch([b.column("id"), b.column("tie"), C.blobs(ids.astype(width), first)], ["id", "tie", "ids"])
 
-    coded = C.staged(docs.mapInArrow(encode, "id long, tie long, ids binary"), folder, "ids", compression="zstd")
+    coded = C.staged(docs.mapInArrow(C.tidied(encode), "id long, tie long, ids binary"), folder, "ids", compression="zstd")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
@@ -241,7 +240,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
 
     # ranks and codes are made behind the exchange: Spark reads what is in front of it twice, the first time for the ranges' bounds
     ordered = coded.repartitionByRange("id").sortWithinPartitions("id", "tie")
-    manifest = C.staged(ordered.mapInArrow(write, "shard int, path string, n_docs long, n_ids long"), folder, "manifest")
+    manifest = C.staged(ordered.mapInArrow(C.tidied(write), "shard int, path string, n_docs long, n_ids long"), folder, "manifest")
     C.drop(docs.sparkSession, f"{folder}/ids")
     return manifest
 
@@ -253,11 +252,6 @@ def id_width(tokenizer: str, end_id: int) -> str:
     return "<u2" if max(end_id, *Tokenizer.from_file(tokenizer).get_vocab().values()) < 1 << 16 else "<u4"
 
 
-def text_ranges(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    buf, off = C.raw(texts)
-    return buf, off[:-1], off[1:]
-
-
 def blocks(path: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, whether each is valid, token counts, ranks of all tokens) of each block of a file."""
     fs, at = C.filesystem(path)
@@ -296,4 +290,4 @@ def read_tokens(manifest: DataFrame, folder: str, with_ids: bool = False) -> Dat
                     yield pa.record_batch([pa.array(x, t.type) if not isinstance(x, pa.Array) else x for x, t in zip(columns, schema, strict=True)], schema=schema)
                     start += len(tokens)
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return files.mapInArrow(C.tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
