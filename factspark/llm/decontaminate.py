@@ -5,10 +5,12 @@ powers of two. For a partition of items of s to 2s - 1 shingles a document is re
 2s, so each passage as long as an item lies whole in some window, and the Jaccard similarity of window and item stays high
 however long the document is. Window and item have MinHash sketches of BINS values (one permutation, the least hash of each
 bin); an agreement in any bin makes a candidate, which is then verified: the share of the item's shingles that the document holds must reach the threshold.
-With a containment of 0.8 the chance that no bin agrees is below 1e-6.
+With a containment of 0.8 the chance that no bin agrees is below 1e-6. Items of few shingles have them nearly all in their sketch; any document
+that holds one of these is a candidate.
 
-Only windows that hold some sketched item value at all are sketched; others can't agree. The benchmark is read in blocks of
-at most BLOCK_BYTES of text, each a pass over the documents, so what is broadcast has a fixed bound.
+Only windows that hold some sketched item value at all are sketched; others can't agree. Hashes only propose: what is reported was counted
+on the words themselves. The benchmark is written in blocks of about BLOCK_BYTES of text (a longer item is taken whole), each a pass over
+the documents; a task reads one block from the shared folder, and nothing of the benchmark goes through the driver.
 
 Null or empty texts and items hold nothing and are never reported; repeated rows are reported each; null ids stay null;
 an empty table on either side gives no row.
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common as C
 
@@ -31,6 +34,8 @@ SHINGLE = 5
 BINS = 256
 BLOCK_BYTES = 16 << 20
 SIEVE_BITS = 22
+#: Least shingles of the size partitions up to which every shared sketched shingle makes a candidate.
+SMALL = 16
 
 
 class Items:
@@ -38,7 +43,8 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str | None], k: int = SHINGLE):
         kept = [(i, t) for i, t in zip(ids, texts, strict=True) if t]
-        w = C.words(pa.array([t for _, t in kept], pa.string()))
+        self.texts = pa.array([t for _, t in kept], pa.string())
+        w = C.words(self.texts)
         count = np.diff(w.first)
         self.ids = [i for i, _ in kept]
         self.sets: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(kept)
@@ -60,6 +66,16 @@ class Items:
             for x in parts.values():
                 self.sieve[n][np.fromiter(x, np.uint64) >> np.uint64(64 - SIEVE_BITS)] = True
 
+    def spelled(self, i: int, n: int) -> set[tuple[bytes, ...]]:
+        """The shingles of an item in words."""
+        w = C.words(self.texts.slice(i, 1))
+        return spelled(w, np.arange(len(w.hash) - n + 1), n)
+
+
+def spelled(w: C.Words, at: np.ndarray, n: int) -> set[tuple[bytes, ...]]:
+    """The n words from each of these, as bytes."""
+    return {tuple(w.buf[w.start[j] : w.end[j]].tobytes() for j in range(i, i + n)) for i in at.tolist()}
+
 
 def sketch(h: np.ndarray) -> np.ndarray:
     """The least hash of each bin that has one."""
@@ -85,54 +101,68 @@ def contained(texts: pa.Array, items: Items, threshold: float) -> list[tuple[int
             near = hit[row == r] - base if len(row) < 5000 else hit[np.searchsorted(row, r) : np.searchsorted(row, r, "right")] - base
             for s, values in parts.items():
                 exact = near[[v in values for v in h[base + near].tolist()]]
+                if s <= SMALL:
+                    for v in np.unique(h[base + exact]).tolist():
+                        found.update(values[v])
+                    continue
                 for j in np.unique(np.concatenate([exact // (2 * s), np.maximum(exact // (2 * s) - 1, 0)])):
                     for v in sketch(h[base + j * 2 * s : min(stop, base + (j + 2) * 2 * s)]).tolist():
                         found.update(values.get(v, ()))
             if found:
                 own = np.unique(h[base:stop])
                 for i in sorted(found):
-                    size, got = len(items.sets[i]), int(np.isin(items.sets[i], own, assume_unique=True).sum())
-                    if got >= threshold * size - 1e-9:
-                        out.append((int(r), i, size, got))
+                    both = np.isin(own, items.sets[i], assume_unique=True)
+                    if both.sum() >= threshold * len(items.sets[i]) - 1e-9:
+                        # counted again in words: all places whose hash is the item's
+                        want, places = items.spelled(i, n), np.flatnonzero(np.isin(h[base:stop], items.sets[i]))
+                        got = len(want & spelled(w, base + places, n))
+                        if got >= threshold * len(want) - 1e-9:
+                            out.append((int(r), i, len(want), got))
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+_loaded: dict[str, Items] = {}
+
+
+def block_items(path: str) -> Items:
+    """The items of one block; a worker keeps those of the last block it read."""
+    if path not in _loaded:
+        _loaded.clear()
+        ids: list = []
+        texts: list = []
+        for b in C.parquet_batches(path):
+            ids += b.column("item").to_pylist()
+            texts += b.column("text").to_pylist()
+        _loaded[path] = Items(ids, texts)
+    return _loaded[path]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, folder: str, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, shingles, found, containment for each item that a document holds."""
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, shingles int, found int, containment double"
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
+    blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES)
 
-    def search(block: Items) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+    def search(block: int) -> DataFrame:
+        path = f"{folder}/items-{block}"
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+        C.staged(part, folder, f"items-{block}")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = block_items(path)
             for b in C.slices(batches, "text"):
-                got = contained(b.column("text"), sent.value, threshold)
+                got = contained(b.column("text"), own, threshold)
                 if got:
                     r, i, size, found = zip(*got, strict=True)
-                    yield pa.record_batch([b.column("id").take(pa.array(r)), pa.array([sent.value.ids[x] for x in i], item_type), pa.array(size, pa.int32()), pa.array(found, pa.int32()), pa.array(np.divide(found, size))], ["doc_id", "item_id", "shingles", "found", "containment"])
+                    yield pa.record_batch([b.column("id").take(pa.array(r)), pa.array([own.ids[x] for x in i], item_type), pa.array(size, pa.int32()), pa.array(found, pa.int32()), pa.array(np.divide(found, size))], ["doc_id", "item_id", "shingles", "found", "containment"])
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(C.tidied(run), schema)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-    ids: list = []
-    texts: list[str] = []
-    found: list[DataFrame] = []
-    size = 0
-    for r in benchmark.select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t")).where("t is not null").toLocalIterator():
-        ids.append(r.i)
-        texts.append(r.t)
-        size += len(r.t)
-        if size > BLOCK_BYTES:
-            found.append(search(Items(ids, texts)))
-            ids, texts, size = [], [], 0
-    if ids:
-        found.append(search(Items(ids, texts)))
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
+    return reduce(DataFrame.union, map(search, range(blocks))) if blocks else spark.createDataFrame([], schema)
 
 
 ORACLE = r"""
