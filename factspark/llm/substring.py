@@ -27,7 +27,7 @@ from . import common as C
 
 WINDOW, GRAM = 35, 8
 #: Words in a shard, about; occurrences from which a minimiser's windows are routed one by one.
-SHARD_WORDS, HOT = 2_000_000, 2000
+SHARD_WORDS, HOT = 1_000_000, 2000
 
 
 # ---------------------------------------------------------------- routing
@@ -59,15 +59,6 @@ def window_runs(w: C.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return h[chosen[begin]], start[begin], start[end]
 
 
-def span_hash(w: C.Words, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A hash of the words first:stop."""
-    p, q = C.powers(len(w.hash))
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(w.hash) + 1, np.uint64)
-        np.cumsum(w.hash * p[:-1], out=total[1:])
-        return C.mix((total[stop] - total[first]) * q[first], 41)
-
-
 # ---------------------------------------------------------------- FM-index
 
 
@@ -82,7 +73,7 @@ class WaveletTree:
             packed = np.packbits(bit, bitorder="little")
             words = np.zeros((self.n >> 6) + 1, np.uint64)
             words.view(np.uint8)[: len(packed)] = packed
-            ones = np.zeros(len(words) + 1, np.int64)
+            ones = np.zeros(len(words) + 1, np.int32)
             np.cumsum(np.bitwise_count(words), out=ones[1:])
             self.bits.append(words)
             self.before.append(ones)
@@ -111,10 +102,11 @@ class FMIndex:
             key = np.zeros(n, np.int64)
             key[: max(n - depth, 0)] = rank[depth:] + 1
             key += rank * (int(rank.max(initial=0)) + 2)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             sorted_ = key[order]
-            new = np.zeros(n, np.int64)
-            new[1:] = np.cumsum(sorted_[1:] != sorted_[:-1])
+            new = np.zeros(n, np.int32)
+            np.cumsum(sorted_[1:] != sorted_[:-1], out=new[1:])
+            del key, sorted_
             rank = np.empty(n, np.int64)
             rank[order] = new
             depth *= 2
@@ -186,15 +178,16 @@ def search_shard(t: pa.Table, window: int) -> pa.Table:
     """key, a, b: word ranges of documents that repeated windows cover, from the passages of one shard."""
     w = C.words(t["passage"])
     size = np.diff(w.first)
-    name = span_hash(w, w.first[:-1], w.first[1:])
     places, count = C.raw(t["places"])[0].view(np.int64).reshape(-1, 2), t["n"].to_numpy()
-    _, kept, same = np.unique(name, return_index=True, return_inverse=True)
+    # passages and words are told apart by their bytes
+    same = t["passage"].combine_chunks().dictionary_encode().indices.to_numpy()
+    _, kept = np.unique(same, return_index=True)
     total = np.bincount(same, weights=count).astype(np.int64)
     # the text of distinct passages, each with a separator behind it
     length = size[kept]
     first = np.concatenate([[0], np.cumsum(length + 1)[:-1]]).astype(np.int64)
     text = np.zeros(int((length + 1).sum()), np.int64)
-    _, symbol = np.unique(w.hash, return_inverse=True)
+    symbol = w.spelled().dictionary_encode().indices.to_numpy()
     within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
     text[np.repeat(first, length) + within] = symbol[np.repeat(w.first[kept], length) + within] + 1
     weight = np.repeat(total, length + 1)
@@ -223,22 +216,26 @@ def repeats(docs: DataFrame, folder: str, window: int = WINDOW, gram: int = GRAM
     def minimisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, "text"):
             w = C.words(b.column("text"))
-            h, start, _ = window_runs(w, window, gram)
+            h, start, last = window_runs(w, window, gram)
             row = np.searchsorted(w.first, start, "right") - 1
             order = np.lexsort((h, row))
-            h, row = h[order], row[order]
+            h, row, windows = h[order], row[order], (last - start + 1)[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
             at = np.flatnonzero(new)
             times = np.diff(np.concatenate([at, [len(h)]]))
-            yield pa.record_batch([pa.array(h[at].view(np.int64)), b.column("key").take(pa.array(row[at])), pa.array(times.astype(np.int32))], ["h", "key", "n"])
+            total = np.add.reduceat(windows, at) if len(at) else at
+            yield pa.record_batch([pa.array(h[at].view(np.int64)), b.column("key").take(pa.array(row[at])), pa.array(times.astype(np.int32)), pa.array(total.astype(np.int32))], ["h", "key", "n", "windows"])
 
-    runs = docs.mapInArrow(minimisers, "h long, key long, n int")
+    runs = docs.mapInArrow(C.tidied(minimisers), "h long, key long, n int, windows int")
     counts = runs.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1")
-    wanted = runs.join(counts, "h").groupBy("key").agg(F.collect_list(F.struct("h", (F.col("total") > HOT).alias("hot"))).alias("wanted"), F.sum("n").alias("n"))
+    hot = F.col("total") > HOT
+    # words that are sent to shards: a passage for each run, or for each window of hot minimisers
+    words = F.when(hot, window * F.col("windows")).otherwise(F.col("windows") + (window - 1) * F.col("n"))
+    wanted = runs.join(counts, "h").groupBy("key").agg(F.collect_list(F.struct("h", hot.alias("hot"))).alias("wanted"), F.sum("n").alias("n"), F.sum(words.cast("long")).alias("words"))
     wanted = C.staged(wanted, folder, "wanted", compression="zstd")
-    passages = wanted.agg(F.sum("n")).first()[0] or 0
-    shards = max(1, passages * (window + window - gram) // SHARD_WORDS, min(passages // 2000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sizes = wanted.agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
+    shards = max(1, (sizes.words or 0) // SHARD_WORDS, min((sizes.n or 0) // 2000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, "text"):
@@ -259,7 +256,7 @@ def repeats(docs: DataFrame, folder: str, window: int = WINDOW, gram: int = GRAM
             many = np.where(is_hot, last - start + 1, 1) * known
             begin = np.repeat(start, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
             stop = np.where(np.repeat(is_hot, many), begin + window, np.repeat(last, many) + window)
-            name = span_hash(w, begin, stop)
+            name = C.span_hash(w, begin, stop)
             route = np.where(np.repeat(is_hot, many), name, C.mix(np.repeat(h, many), 12))
             where = np.repeat(row, many)
             key = b.column("key").to_numpy()[where]
@@ -274,8 +271,8 @@ def repeats(docs: DataFrame, folder: str, window: int = WINDOW, gram: int = GRAM
             shard = (route[pick] % np.uint64(shards)).astype(np.int32)
             yield pa.record_batch([pa.array(shard), pa.array(passage, pa.binary()), C.blobs(place[order].reshape(-1), 2 * np.concatenate([new, [len(name)]])), pa.array(times, pa.int64())], ["shard", "passage", "places", "n"])
 
-    sent = docs.join(wanted.select("key", "wanted"), "key").select("key", "text", "wanted").mapInArrow(cut, "shard int, passage binary, places binary, n long")
-    found = sent.groupBy("shard").applyInArrow(lambda t: search_shard(t, window), "key long, a long, b long")
+    sent = docs.join(wanted.select("key", "wanted"), "key").select("key", "text", "wanted").mapInArrow(C.tidied(cut), "shard int, passage binary, places binary, n long")
+    found = sent.groupBy("shard").applyInArrow(C.tidied_group(lambda t: search_shard(t, window)), "key long, a long, b long")
     return C.staged(found.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), folder, "spans", compression="zstd")
 
 
@@ -326,7 +323,7 @@ def remove_repeats(docs: DataFrame, folder: str, window: int = WINDOW, id_col: s
             sha = [hashlib.sha256(x).hexdigest() for x in text]
             yield pa.record_batch([*b.columns[: len(columns)], pa.array(np.diff(w.first)), pa.array(removed), pa.array([x.decode() for x in text], pa.string()), pa.array(sha, pa.string())], [*columns, *made])
 
-    return rows.mapInArrow(run, ", ".join([*fields, *(f"`{name}` {kind}" for name, kind in zip(made, ("long", "long", "string", "string"), strict=True))]))
+    return rows.mapInArrow(C.tidied(run), ", ".join([*fields, *(f"`{name}` {kind}" for name, kind in zip(made, ("long", "long", "string", "string"), strict=True))]))
 
 
 ORACLE = r"""
