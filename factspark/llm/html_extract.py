@@ -4,7 +4,7 @@ Each page's containers are scored; the best one's generalised path (tags with th
 page. Spark counts the votes by host, and the page is extracted again from the elements on its host's winning path; a page
 without such an element uses its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and comments are left out, by tag, role, class or id. A name counts by its leading part or as a whole, never by a part inside, and an id says
-nothing of headings and paragraphs. No element is left out by name that holds the page's article or main, or, if none is outside, most of the page's unlinked
+nothing of headings and paragraphs. No element is left out by name, and no form, that holds the page's article or main, or, if none is outside, most of the page's unlinked
 text; only readers' comments, adverts and consent texts are, however long, if they hold no article.
 
 Null html is empty and gives empty text; a null url, or one without a host, belongs to the host ''. Repeated rows vote and
@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -32,7 +33,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)([^>
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>"']|$)""", re.I)
 TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article main section div td body".split())
 SKIPPED_TAGS = RAW | frozenset("head nav header footer aside form button select label menu dialog input".split())
@@ -43,7 +44,10 @@ SKIPPED_NAMES = OTHERS | frozenset("banner breadcrumb breadcrumbs notice notices
 PLACES = frozenset("area articles bar block bottom box btn button buttons center col column container entry form global google group holder icon icons inner item items left link links list lower main middle outer page panel post posts primary region right row secondary section site slot sticky stories tertiary title to top unit upper wrap wrapper zone".split())
 #: Skipped names that also begin names of article parts (side-by-side, social-impact), so that their leading part tells nothing.
 COMMON = frozenset("alert notice notices related share sharing side skip social".split())
+#: Parts that tell a state of the page, so a name that holds one names no region (comments-open, has-sidebar).
+STATES = frozenset("active closed collapsed disabled enabled expanded has hidden is no none not off on open opened visible with without".split())
 ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+BODIES = frozenset("article main".split())
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|main|post|story|text|body)(?:$|[\s_-])", re.I)
 #: An opening tag ends these open ones first, as far as the given tags.
@@ -63,12 +67,13 @@ class Element:
 
 
 def skipped_names(tag: str, classes: str, id_: str) -> frozenset:
-    """The skipped names that leave an element out: those of whole classes or ids, and of the leading parts of classes."""
+    """The skipped names that leave an element out: those of whole classes or ids, and of the leading parts of classes but those of an
+    article or main."""
     found: set = set()
     for is_id, token in [(False, x) for x in classes.split()] + [(True, x) for x in id_.split() if tag not in ANCHORS]:
         parts = [x for x in re.split(r"[-_]+", CAMEL.sub("-", token).lower()) if x]
-        told = SKIPPED_NAMES.intersection(parts)
-        if told and (all(x in SKIPPED_NAMES or x in PLACES or x.isdigit() for x in parts) or not is_id and parts[0] in SKIPPED_NAMES - COMMON):
+        told = SKIPPED_NAMES.intersection(parts) if STATES.isdisjoint(parts) else None
+        if told and (all(x in SKIPPED_NAMES or x in PLACES or x.isdigit() for x in parts) or not is_id and tag not in BODIES and parts[0] in SKIPPED_NAMES - COMMON):
             found |= told
     return frozenset(found)
 
@@ -88,7 +93,7 @@ def spare(tree: list[Element]) -> None:
         else:
             plain[i] += sum(len(x.strip()) for x in e.parts if isinstance(x, str))
         held = inside[i]
-        if e.tag in ("article", "main") and not out[i] and not e.skipped and plain[i]:
+        if e.tag in BODIES and not out[i] and not e.skipped and plain[i]:
             bodies.append(i)
             held = max(held, plain[i])
         if e.parent >= 0:
@@ -109,11 +114,17 @@ def parse(page: str) -> list[Element]:
     """The elements of a page; element 0 is the root."""
     tree, open_ = [Element("")], [0]
     at, low = 0, None
+    count: Counter = Counter()  # open elements by tag
 
     def text(to: int) -> None:
         if to > at:
             tree[open_[-1]].parts.append(page[at:to])
 
+    def end_from(i: int) -> None:
+        """Ends the open elements from the i-th."""
+        count.subtract(tree[x].tag for x in open_[i:])
+        del open_[i:]
+
     while m := TOKEN.search(page, at):
         text(m.start())
         at = m.end()
@@ -122,16 +133,14 @@ def parse(page: str) -> list[Element]:
             continue
         tag = name.lower()
         if m[1] or m[4]:
-            for i in range(len(open_) - 1, 0, -1):
-                if tree[open_[i]].tag == tag:
-                    del open_[i:]
-                    break
+            if count[tag] > 0:
+                end_from(next(i for i in range(len(open_) - 1, 0, -1) if tree[open_[i]].tag == tag))
             continue
-        if tag in CLOSES:
+        if tag in CLOSES and any(count[x] > 0 for x in CLOSES[tag][0]):
             ends, stop = CLOSES[tag]
             for i in range(len(open_) - 1, 0, -1):
                 if tree[open_[i]].tag in ends:
-                    del open_[i:]
+                    end_from(i)
                     break
                 if tree[open_[i]].tag in stop:
                     break
@@ -143,6 +152,8 @@ def parse(page: str) -> list[Element]:
             if names and not skipped and tag not in ("html", "body"):
                 named = skipped_names(tag, given.get("class", ""), given.get("id", ""))
                 skipped = bool(named)
+        if tag == "form" and not named:  # some systems wrap the whole page in a form
+            named = frozenset({"form"})
         tree[open_[-1]].parts.append(len(tree))
         tree.append(Element(tag, names, skipped, open_[-1], named))
         if tag in RAW:
@@ -154,6 +165,7 @@ def parse(page: str) -> list[Element]:
                 at = len(page) if close < 0 else close + 1
         elif tag not in VOID:
             open_.append(len(tree) - 1)
+            count[tag] += 1
     text(len(page))
     if any(e.named for e in tree):
         spare(tree)
@@ -272,7 +284,7 @@ def winning_paths(pages: DataFrame, html_col: str = "html", url_col: str = "url"
                 out.append(path(tree, best(tree)))
             yield pa.record_batch([b.column("host"), pa.array(out, pa.string())], ["host", "winner"])
 
-    votes = pages.select(host(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(vote, "host string, winner string")
+    votes = pages.select(host(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(C.tidied(vote), "host string, winner string")
     counted = votes.where("winner <> ''").groupBy("host", "winner").count()
     first = W.partitionBy("host").orderBy(F.desc("count"), "winner")
     return counted.withColumn("place", F.row_number().over(first)).where("place = 1").select("host", "winner")
@@ -290,4 +302,4 @@ def extract_pages(pages: DataFrame, folder: str, id_col: str = "page_id", url_co
             yield pa.record_batch([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return rows.join(winners, "host", "left").select("page_id", "url", "html", "winner").mapInArrow(run, f"page_id {kinds[id_col]}, url string, text string, n_chars long")
+    return rows.join(winners, "host", "left").select("page_id", "url", "html", "winner").mapInArrow(C.tidied(run), f"page_id {kinds[id_col]}, url string, text string, n_chars long")
