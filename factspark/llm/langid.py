@@ -106,7 +106,7 @@ def train(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: st
     quota = max(1, sample // langs)
     order = W.partitionBy("lang").orderBy("h")
     # the first of each salt, then of those, at most SALTS * quota rows for each language: no task gathers a frequent one's rows
-    hashed = rows.select("lang", F.xxhash64("text").alias("h")).withColumn("salt", F.pmod("h", F.lit(SALTS)))
+    hashed = rows.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("salt", F.pmod("h", F.lit(SALTS)))
     hashed = hashed.withColumn("place", F.row_number().over(W.partitionBy("lang", "salt").orderBy("h"))).where(F.col("place") <= quota)
     cut = hashed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= quota).groupBy("lang").agg(F.max("h").alias("cut"))
     picked = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(cut), "lang").where("h <= cut").dropDuplicates(["lang", "h"])
@@ -121,7 +121,7 @@ def train(docs: DataFrame, teaches: Column, text_col: str = "text", lang_col: st
         order = np.lexsort((x @ np.arange(FEATURES, dtype=np.float32), t["lang"].to_numpy(zero_copy_only=False)))
         return pa.table([pa.array([fit(x[order], t["lang"].to_numpy(zero_copy_only=False)[order])], pa.binary())], ["model"])
 
-    model = picked.select("text", "lang").mapInArrow(hashed_features, "lang string, x binary, one int").groupBy("one").applyInArrow(fitted, "model binary").collect()[0].model
+    model = picked.select("text", "lang").mapInArrow(C.tidied(hashed_features), "lang string, x binary, one int").groupBy("one").applyInArrow(fitted, "model binary").collect()[0].model
     return dict(np.load(io.BytesIO(bytes(model))))
 
 
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: dict | None, keep: list[str], text_col: str
                 columns = [part.column(c) for c in keep]
                 yield pa.record_batch([*columns, pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(close)], [*keep, "lang_pred", "score", "ambiguous"])
 
-    return rows.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", "ambiguous boolean"]))
+    return rows.mapInArrow(C.tidied(run), ", ".join([*fields, "lang_pred string", "score double", "ambiguous boolean"]))
 
 
 def held_out(doc_id: Column, fold: int = 0, folds: int = 5) -> Column:
