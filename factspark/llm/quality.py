@@ -6,7 +6,7 @@ counts of vote patterns of all documents estimates how each votes on good, junk
 then train a linear scorer on hashed word presence, which judges every whole text without its label.
 
 The lexicon and the scorer are fitted on at most SAMPLE labelled rows (the first by a hash of their id); vote counts and scores cover all
-rows. A null text, or one without a word, is junk: score 0, rejected. Labels with null fields, or for unknown ids, say nothing; of several
+rows; of rows with one id only the least text teaches. A null text, or one without a word, is junk: score 0, rejected. Labels with null fields, or for unknown ids, say nothing; of several
 labels for one id the worst counts. Without labels only the heuristics vote. Repeated rows are judged alike; an empty table gives no row.
 """
 
@@ -102,8 +102,8 @@ def find_lexicon(h: np.ndarray, row: np.ndarray, toxic: np.ndarray) -> np.ndarra
     return words[(bad >= 4) & (share > 0.7)]
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """P(class | pattern) for each row of votes, by Dawid and Skene's model with a vote table for each labeller."""
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(P(class | pattern) for each row of votes, P(vote | class) of each labeller, P(class)), by Dawid and Skene's model."""
     tables = [np.array(START[k]) for k in NAMES]
     prior = np.array([0.8, 0.12, 0.08])
     for _ in range(rounds):
@@ -118,7 +118,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
             start = np.array(START[name])
             seen = np.stack([np.bincount(patterns[:, j], weights=weight[:, c], minlength=start.shape[1]) for c in range(3)])
             tables[j] = (seen + 50 * start) / (seen.sum(axis=1, keepdims=True) + 50)
-    return post
+    return post, tables, prior
 
 
 def slots(h: np.ndarray, first: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,10 +167,12 @@ def train(docs: DataFrame, labels: DataFrame | None, folder: str, id_col: str =
         labels = docs.sparkSession.createDataFrame([], "doc_id long, quality int, toxic int")
     label = F.when(F.col("toxic") == 1, 3).when(F.col("quality") == 0, 2).when((F.col("quality") == 1) & (F.col("toxic") == 0), 1)
     known = labels.select(F.col("doc_id").alias("id"), label.alias("label")).where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    known = C.staged(known.join(docs.select("id"), "id", "left_semi"), folder, "known")
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     if chosen.isEmpty():  # without labels the heuristics are enough to train on
-        chosen = docs.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("label", F.lit(0))
-    rows = C.staged(docs.join(F.broadcast(chosen), "id").limit(2 * sample), folder, "labelled")
+        chosen = docs.where("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample).withColumn("label", F.lit(0))
+    # of rows with one id, the least text teaches
+    rows = C.staged(docs.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label")), folder, "labelled")
 
     def lexicon_kernel(t: pa.Table) -> pa.Table:
         label, found = t["label"].to_numpy(), []
@@ -185,7 +187,11 @@ def train(docs: DataFrame, labels: DataFrame | None, folder: str, id_col: str =
 
     got = one_task(rows, lexicon_kernel, "x binary").collect()
     if not got:
-        return None
+        if not docs.isEmpty():  # every id is null: the heuristics' own weights are all there is
+            rows = C.staged(docs.orderBy(F.xxhash64("text"), "text").limit(sample).withColumn("label", F.lit(0)), folder, "unnamed")
+            got = one_task(rows, lexicon_kernel, "x binary").collect()
+        else:
+            return None
     lexicon = np.frombuffer(bytes(got[0].x), np.uint64)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +200,11 @@ def train(docs: DataFrame, labels: DataFrame | None, folder: str, id_col: str =
             yield pa.record_batch([b.column("id"), pa.array(votes.astype(np.int64) @ 3 ** np.arange(votes.shape[1]))], ["id", "votes"])
 
     kind = dict(docs.dtypes)["id"]
-    voted = docs.mapInArrow(vote, f"id {kind}, votes long").join(known, "id", "left").groupBy("votes", F.coalesce("label", F.lit(0)).alias("label")).count().collect()
+    voted = docs.mapInArrow(C.tidied(vote), f"id {kind}, votes long").join(known, "id", "left").groupBy("votes", F.coalesce("label", F.lit(0)).alias("label")).count().collect()
     codes = np.array([r.votes for r in voted])
     patterns = np.hstack([codes[:, None] // 3 ** np.arange(len(NAMES) - 1) % 3, np.array([[r.label] for r in voted])])
     counts = np.array([r["count"] for r in voted], float)
-    post = expectation_maximisation(patterns, counts)
+    post, _, _ = expectation_maximisation(patterns, counts)
     posterior = {(c, r.label): p for c, r, p in zip(codes.tolist(), voted, post, strict=True)}
 
     def scorer_kernel(t: pa.Table) -> pa.Table:
@@ -243,6 +249,4 @@ def classify(docs: DataFrame, model: dict | None, keep_columns: list[str], text_
             else:
                 yield pa.record_batch([*b.columns[:-1], pa.array(good), pa.array(toxic), pa.array(good >= threshold)], [*keep_columns, "quality_score", "toxic_score", "keep"])
 
-    return rows.mapInArrow(run, ", ".join(fields + ([] if filter_only else ["quality_score double", "toxic_score double", "keep boolean"])))
-
-
+    return rows.mapInArrow(C.tidied(run), ", ".join(fields + ([] if filter_only else ["quality_score double", "toxic_score double", "keep boolean"])))
