@@ -229,7 +229,7 @@ def compare_blocks(threshold: float):
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, node (the hash of the set, null for an empty one), e, key of each row."""
+    """id, th (the text's hash), node (the hash of the set, null for an empty one) and e of each row."""
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,9 +239,9 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(C.mix(values, 77))])
                 node = C.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64), 78).view(np.int64)
             e = embed(values, first)
-            yield pa.record_batch([b.column("id"), pa.array(node, pa.int64(), mask=np.diff(first) == 0), C.blobs(e.reshape(-1), np.arange(len(e) + 1) * T)], ["id", "node", "e"])
+            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(node, pa.int64(), mask=np.diff(first) == 0), C.blobs(e.reshape(-1), np.arange(len(e) + 1) * T)], ["id", "th", "node", "e"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, node long, e binary")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(C.tidied(run), f"id {kind}, th long, node long, e binary")
 
 
 def link(docs: DataFrame, folder: str, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,7 +249,7 @@ def link(docs: DataFrame, folder: str, threshold: float = THRESHOLD, id_col: str
     threshold's similarity), n_copies (rows with an equal set), for every row."""
     spark = docs.sparkSession
     rows = C.staged(sets_of(docs, id_col, text_col), folder, "sets", compression="zstd")
-    classes = C.staged(rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n_copies"), F.first("e").alias("e")), folder, "classes")
+    classes = C.staged(rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "th")).alias("first"), F.count("*").alias("n_copies"), F.first("e").alias("e")).select("node", F.col("first.id").alias("least"), F.col("first.th").alias("th"), "n_copies", "e"), folder, "classes")
 
     def all_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,7 +271,7 @@ def link(docs: DataFrame, folder: str, threshold: float = THRESHOLD, id_col: str
         counts = level.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         return C.staged(level.join(counts, "path"), folder, name)
 
-    level = shared(classes.select("node", "e").mapInArrow(all_paths, "path long, node long"), f"paths-{DEPTH}")
+    level = shared(classes.select("node", "e").mapInArrow(C.tidied(all_paths), "path long, node long"), f"paths-{DEPTH}")
     for depth in range(DEPTH, DEEPEST + 1):
         last = depth == DEEPEST
         small = level if last else level.where(F.col("n") <= BUCKET)
@@ -279,7 +279,7 @@ def link(docs: DataFrame, folder: str, threshold: float = THRESHOLD, id_col: str
         large = level.where(F.col("n") > BUCKET)
         if last or large.isEmpty():
             break
-        level = shared(large.join(embedding, "node").mapInArrow(deeper, "path long, node long"), f"paths-{depth + 1}")
+        level = shared(large.join(embedding, "node").mapInArrow(C.tidied(deeper), "path long, node long"), f"paths-{depth + 1}")
 
     buckets = found[0]
     for x in found[1:]:
@@ -291,13 +291,12 @@ def link(docs: DataFrame, folder: str, threshold: float = THRESHOLD, id_col: str
         joined = member.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across)
         member = C.staged(components(joined, f"{folder}/nearer"), folder, "candidates")
     sizes = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # one text for each class to be compared: of the rows with its least id, any has its set or is passed over
-    wanted = member.join(sizes, "root").join(classes.select("node", "least"), "node")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    wanted = member.join(sizes, "root").join(classes.select("node", "least", "th"), "node")
     placed = wanted.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other")
     spread = placed.select("root", "node", "least", "block", other).select("root", "node", "least", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    with_text = spread.join(one_text(rows, texts, wanted), "node")
+    with_text = spread.join(one_text(texts, wanted), "node")
     linked = C.staged(with_text.select("root", "node", "block", "i", "j", "text").groupBy("root", "i", "j").applyInArrow(compare_blocks(threshold), "a long, b long, links long"), folder, "links", )
     per_node = linked.where("a = b").groupBy("a").agg(F.sum("links").alias("n_links")).withColumnRenamed("a", "node")
     whole = components(linked.where("a <> b").select("a", "b"), f"{folder}/whole")
@@ -308,10 +307,11 @@ def link(docs: DataFrame, folder: str, threshold: float = THRESHOLD, id_col: str
     return alone.select(F.col("id").alias("doc_id"), F.coalesce("text_class", "id").alias("text_class"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
 
 
-def one_text(rows: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text: the text of one row of each wanted class. Rows are told apart by id; the set's hash is checked again where an id is repeated."""
-    ids = wanted.select("node", F.col("least").alias("id")).where("id is not null")
-    picked = texts.join(ids, "id")
+def one_text(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text: the text of one row of each wanted class, or that of each of its equal rows. Rows are told apart by id (null or not) and the text's
+    hash; the set's hash is checked again."""
+    named = wanted.select("node", F.col("least").alias("least"), F.col("th").alias("least_th"))
+    picked = texts.join(named, (texts.th == named.least_th) & texts.id.eqNullSafe(named.least))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, "text"):
@@ -322,4 +322,4 @@ def one_text(rows: DataFrame, texts: DataFrame, wanted: DataFrame) -> DataFrame:
             right = node == b.column("node").to_numpy()
             yield b.select(["node", "text"]).filter(pa.array(right))
 
-    return picked.select("node", "text").mapInArrow(check, "node long, text string")
+    return picked.select("node", "text").mapInArrow(C.tidied(check), "node long, text string")
