@@ -149,7 +149,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, level: int
         if raw is not None:
             yield finish()
 
-    return C.staged(mark_revisits(pages, min_bytes).mapInArrow(write, "path string, records long"), folder, "manifest")
+    return C.staged(mark_revisits(pages, min_bytes).mapInArrow(C.tidied(write), "path string, records long"), folder, "manifest")
 
 
 def page_of(name: str | None) -> int | None:
@@ -188,7 +188,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                         yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), ROW, strict=True)], schema=ROW)
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(n, "path").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return manifest.select("path").repartition(n, "path").mapInArrow(C.tidied(read), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 ORACLE = """
