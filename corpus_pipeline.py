@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factspark.llm import decontaminate, jaccard, pieces, quality, substring
-from factspark.llm.common import staged, work_dir
+from factspark.llm.common import dropped_after, staged, work_dir
 
 #: SQL has no expectation-maximisation, no A* search and no sampled paths.
 ORACLE_SQL = None
@@ -40,7 +40,7 @@ def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = substring.key_of(docs, ["doc_id", "text"])
-    held = decontaminate.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__key")
+    held = decontaminate.contaminated(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work_dir(spark, "benchmark"), id_col="__key")
     held = staged(held.select(F.col("doc_id").alias("__key")).distinct(), work_dir(spark, "contaminated"), "keys")
     return keyed.join(held, "__key", "left_anti").select(*docs.columns)
 
@@ -64,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), folder, name)
+        with dropped_after(spark):
+            docs = staged(stage(spark, docs, sf_dir), folder, name)
     return docs
