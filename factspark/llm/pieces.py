@@ -324,14 +324,16 @@ def pieces(path: str) -> Pieces:
     return _models[path]
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, n: int = 2) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, n: int = 2, with_nbest: bool = False) -> DataFrame:
     """doc_id; n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and score of the best segmentation; second_score
     (null if there is none), decodes (whether decoding the best ids gives the normalised text), nbest_scores and nbest_crc32 of the n best;
-    on demand the best's ids and all nbest_ids."""
+    on demand the best's ids, or all nbest_ids."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     kinds = {"n_pieces": pa.int64(), "ids_crc32": pa.int64(), "score": pa.float64(), "second_score": pa.float64(), "decodes": pa.bool_(), "nbest_scores": pa.list_(pa.float64()), "nbest_crc32": pa.list_(pa.int64())}
     if with_ids:
-        kinds |= {"ids": pa.list_(pa.int64()), "nbest_ids": pa.list_(pa.list_(pa.int64()))}
+        kinds["ids"] = pa.list_(pa.int64())
+    if with_nbest:
+        kinds["nbest_ids"] = pa.list_(pa.list_(pa.int64()))
     sql = {pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean"}
 
     def sql_type(kind: pa.DataType) -> str:
@@ -343,12 +345,18 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             texts = b.column("__text").to_pylist()
             got = p.encode(texts, n)
             sizes = [len(x[0][1]) for x in got]
-            back = p.decode(np.concatenate([np.zeros(0, np.uint32), *[x[0][1] for x in got]]), np.cumsum([0, *sizes]))
-            crc = [[zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in x] for x in got]
+            ids, first = np.concatenate([np.zeros(0, np.uint32), *[x[0][1] for x in got]]), np.cumsum([0, *sizes])
+            back = p.decode(ids, first)
+            crc = [[zlib.crc32(y.astype("<u4").tobytes()) for _, y in x] for x in got]
             values = [sizes, [x[0] for x in crc], [x[0][0] for x in got], [x[1][0] if len(x) > 1 else None for x in got], [a == p.plain(t) for a, t in zip(back, texts, strict=True)], [[s for s, _ in x] for x in got], crc]
             if with_ids:
-                values += [[x[0][1].astype(np.int64) for x in got], [[ids.tolist() for _, ids in x] for x in got]]
-            yield pa.record_batch([b.column("doc_id"), *(pa.array(v, k) for v, k in zip(values, kinds.values(), strict=True))], ["doc_id", *kinds])
+                values.append(C.lists(ids.astype(np.int64), first, pa.int64()))
+            if with_nbest:
+                inner = [y for x in got for _, y in x]
+                inner = C.lists(np.concatenate([np.zeros(0, np.int64), *inner]).astype(np.int64), np.cumsum([0, *map(len, inner)]), pa.int64())
+                values.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), inner))
+            yield pa.record_batch([b.column("doc_id"), *(v if isinstance(v, pa.Array) else pa.array(v, k) for v, k in zip(values, kinds.values(), strict=True))], ["doc_id", *kinds])
+            del got, ids, back, values
 
     return rows.mapInArrow(C.tidied(run), ", ".join([f"doc_id {dict(docs.dtypes)[id_col]}", *(f"{name} {sql_type(kind)}" for name, kind in kinds.items())]))
 
