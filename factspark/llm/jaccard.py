@@ -8,9 +8,10 @@ by brute force on their embeddings. RUNS independent runs bring the chance that
 at the deepest level and with the deviation of T MinHash values counted in.
 
 What meets is joined to candidate components, and within each every pair is compared exactly, in blocks of BLOCK classes, so no link inside is lost to
-sampling and none is emitted as a row of its own: a block pair gives each class's number of links and a spanning forest. Classes that
-still share a large bucket after DEEPEST steps are mostly a dense cluster, which no further split would part and which would only multiply their paths. Blocks of
-it are compared first; then, of all its pairs, those that no candidate component holds yet, in pairs of blocks.
+sampling and none is emitted as a row of its own: a block pair gives each class's number of links and a spanning forest. A dense cluster of near classes
+fills large buckets that no further split would part and that would only multiply its paths. So each class of a large bucket is first compared with the heads of
+two such buckets, and buckets that are mostly of one resulting group are not split; nor are those still large after DEEPEST steps, whose blocks
+are compared instead. Of all pairs in buckets left whole, those that no candidate component holds yet are then compared, in pairs of blocks.
 
 Null or empty texts have no shingles and are alone. Repeated rows are copies of one class; a null id is never the name of a class that
 has another id. Links count other classes, not copies. An empty table gives no row.
@@ -21,6 +22,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ T, DEPTH, FANOUT, DEEPEST = 128, 3, 1.43, 5
 BUCKET, BLOCK = 64, 256
 #: Similarity of embeddings from which two classes are joined to be compared exactly: below the threshold by over five deviations.
 NEAR = 0.6
+#: Share of a large bucket in one group from which it is left whole.
+DENSE = 0.5
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 32, T, np.uint32) | np.uint32(1)
@@ -156,6 +160,27 @@ def compare_roots(t: pa.Table) -> pa.Table:
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def compare_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) from heads to the near classes among those that are compared with them."""
+    for b in batches:
+        near = pa.array((embeddings_of(b.column("e")) == embeddings_of(b.column("head_e"))).mean(axis=1) >= NEAR)
+        yield pa.record_batch([b.column("head").filter(near), b.column("node").filter(near)], ["a", "b"])
+
+
+def dense_buckets(large: DataFrame, embedding: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(edges from heads of large buckets to near classes, paths of the buckets that are nearly all of one group)."""
+    heads = large.groupBy("path").agg(F.min_by("node", F.xxhash64("node")).alias("head"))
+    # each class meets the heads of two of its buckets, the largest and another
+    two = large.groupBy("node").agg(F.array_distinct(F.array(F.max_by("path", F.struct("n", "path")), F.min_by("path", F.xxhash64("path")))).alias("paths"))
+    one = two.select("node", F.explode("paths").alias("path")).join(heads, "path").where("node <> head").select("node", "head").distinct()
+    both = one.join(embedding, "node").join(embedding.select(F.col("node").alias("head"), F.col("e").alias("head_e")), "head")
+    edges = C.staged(both.select("head", "head_e", "node", "e").mapInArrow(C.tidied(compare_heads), "a long, b long"), folder, "heads")
+    root = components(edges, f"{folder}/groups")
+    grouped = large.select("path", "node").join(root, "node", "left").groupBy("path", F.coalesce("root", "node").alias("root")).agg(F.count("*").alias("c"))
+    dense = grouped.groupBy("path").agg((F.max("c") >= DENSE * F.sum("c")).alias("dense")).where("dense").select("path")
+    return edges, C.staged(dense, folder, "dense")
+
+
 def across_blocks(large: DataFrame, embedding: DataFrame, first: DataFrame, folder: str) -> DataFrame | None:
     """Edges between classes of one large bucket that first leaves in different components; None if there are no such classes.
     Two classes of different roots are not both in the bucket's largest, so the classes outside it are compared with all."""
@@ -272,6 +297,13 @@ def link(docs: DataFrame, folder: str, threshold: float = THRESHOLD, id_col: str
         return C.staged(level.join(counts, "path"), folder, name)
 
     level = shared(classes.select("node", "e").mapInArrow(C.tidied(all_paths), "path long, node long"), f"paths-{DEPTH}")
+    known: list[DataFrame] = []
+    whole: list[DataFrame] = []
+    if DEPTH < DEEPEST and not level.where(F.col("n") > BUCKET).isEmpty():
+        to_heads, dense = dense_buckets(level.where(F.col("n") > BUCKET), embedding, folder)
+        known.append(to_heads)
+        whole.append(level.join(dense, "path", "left_semi").select("path", "node"))
+        level = level.join(dense, "path", "left_anti")
     for depth in range(DEPTH, DEEPEST + 1):
         last = depth == DEEPEST
         small = level if last else level.where(F.col("n") <= BUCKET)
@@ -281,13 +313,13 @@ def link(docs: DataFrame, folder: str, threshold: float = THRESHOLD, id_col: str
             break
         level = shared(large.join(embedding, "node").mapInArrow(C.tidied(deeper), "path long, node long"), f"paths-{depth + 1}")
 
-    buckets = found[0]
-    for x in found[1:]:
-        buckets = buckets.union(x)
+    buckets = reduce(DataFrame.union, found)
     part = F.when(F.col("n") > BUCKET, F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BUCKET))).otherwise(F.lit(0))
+    if last and not large.isEmpty():
+        whole.append(large.select("path", "node"))
     edges = C.staged(buckets.join(embedding, "node").withColumn("part", part).groupBy("path", "part").applyInArrow(compare_bucket, "a long, b long"), folder, "edges")
-    member = C.staged(components(edges, f"{folder}/near"), folder, "near-roots")
-    if not large.isEmpty() and (across := across_blocks(large, embedding, member, folder)) is not None:
+    member = C.staged(components(reduce(DataFrame.union, [edges, *known]), f"{folder}/near"), folder, "near-roots")
+    if whole and (across := across_blocks(reduce(DataFrame.union, whole), embedding, member, folder)) is not None:
         joined = member.select(F.col("node").alias("a"), F.col("root").alias("b")).union(across)
         member = C.staged(components(joined, f"{folder}/nearer"), folder, "candidates")
     sizes = member.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -299,8 +331,8 @@ def link(docs: DataFrame, folder: str, threshold: float = THRESHOLD, id_col: str
     with_text = spread.join(one_text(texts, wanted), "node")
     linked = C.staged(with_text.select("root", "node", "block", "i", "j", "text").groupBy("root", "i", "j").applyInArrow(compare_blocks(threshold), "a long, b long, links long"), folder, "links", )
     per_node = linked.where("a = b").groupBy("a").agg(F.sum("links").alias("n_links")).withColumnRenamed("a", "node")
-    whole = components(linked.where("a <> b").select("a", "b"), f"{folder}/whole")
-    named = classes.select("node", "least", "n_copies").join(whole, "node", "left").join(per_node, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked_roots = components(linked.where("a <> b").select("a", "b"), f"{folder}/whole")
+    named = classes.select("node", "least", "n_copies").join(linked_roots, "node", "left").join(per_node, "node", "left").withColumn("root", F.coalesce("root", "node"))
     roots = named.groupBy("root").agg(F.min("least").alias("class_id"))
     named = C.staged(named.join(roots, "root").select("node", F.col("least").alias("text_class"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), folder, "named")
     alone = rows.select("id", "node").join(named, "node", "left")
