@@ -3,7 +3,8 @@
 Words are unchanged runs of non-space bytes. A window is WINDOW consecutive words of one document. So that equal windows meet in one shard, each is routed by
 its minimiser: of its GRAM-word hashes the least one, the leftmost of equal ones. Neighbouring windows with the same minimiser travel as one
 passage. Passages whose minimiser occurs once in the corpus can't repeat and stay at home; those with a very frequent one are routed window by window, by the
-window's own hash, so no shard gathers a hot passage's surroundings. Equal passages of a batch travel once, with the list of their places.
+window's own hash, so no shard gathers a hot passage's surroundings. Equal passages of a batch travel once, with the list of their places; those of
+frequent minimisers are counted by Spark first and travel as passage and count alone, and their places are joined to what the index reports.
 
 A shard sorts the suffixes of its distinct passages, builds the Burrows-Wheeler transform as a wavelet tree of packed bits with rank counts, and streams
 every passage through backward search: matching statistics against the index, each row counted as often as its passage occurs. Intervals of at least
@@ -28,6 +29,8 @@ from . import common as C
 WINDOW, GRAM = 35, 8
 #: Words in a shard, about; occurrences from which a minimiser's windows are routed one by one.
 SHARD_WORDS, HOT = 1_000_000, 2000
+#: Repeated windows of frequent minimisers, 8 bytes each, up to which their names are broadcast.
+NAMES = 1_000_000
 
 
 # ---------------------------------------------------------------- routing
@@ -175,9 +178,11 @@ class FMIndex:
 
 
 def search_shard(t: pa.Table, window: int) -> pa.Table:
-    """key, a, b: word ranges of documents that repeated windows cover, from the passages of one shard."""
+    """key, a, b: word ranges of documents that repeated windows cover, from the passages of one shard. A passage without places gives its name
+    as key instead, with a and b from its own first word, and named is true."""
     w = C.words(t["passage"])
     size = np.diff(w.first)
+    here = t["places"].is_valid().to_numpy()
     places, count = C.raw(t["places"])[0].view(np.int64).reshape(-1, 2), t["n"].to_numpy()
     # passages and words are told apart by their bytes
     same = t["passage"].combine_chunks().dictionary_encode().indices.to_numpy()
@@ -186,7 +191,7 @@ def search_shard(t: pa.Table, window: int) -> pa.Table:
     # the text of distinct passages, each with a separator behind it
     length = size[kept]
     first = np.concatenate([[0], np.cumsum(length + 1)[:-1]]).astype(np.int64)
-    text = np.zeros(int((length + 1).sum()), np.int64)
+    text = np.zeros(int((length + 1).sum()), np.int32)
     symbol = w.spelled().dictionary_encode().indices.to_numpy()
     within = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
     text[np.repeat(first, length) + within] = symbol[np.repeat(w.first[kept], length) + within] + 1
@@ -198,13 +203,17 @@ def search_shard(t: pa.Table, window: int) -> pa.Table:
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
     passage = np.searchsorted(first, a, "right") - 1
     a, b = a - first[passage], b - first[passage] + window
-    # to every place of each passage
-    place_of = np.repeat(same, count)
-    order = np.argsort(place_of, kind="stable")
-    begin = np.searchsorted(place_of[order], np.arange(len(kept) + 1))
-    times = np.diff(begin)[passage]
-    spot = order[np.repeat(begin[passage], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-    return pa.table([pa.array(places[spot, 0]), pa.array(places[spot, 1] + np.repeat(a, times)), pa.array(places[spot, 1] + np.repeat(b, times))], ["key", "a", "b"])
+
+    def spread(spot_of: np.ndarray, key: np.ndarray, at: np.ndarray, named: bool) -> pa.Table:
+        """The reported ranges of each passage for each of its spots."""
+        order = np.argsort(spot_of, kind="stable")
+        begin = np.searchsorted(spot_of[order], np.arange(len(kept) + 1))
+        times = np.diff(begin)[passage]
+        spot = order[np.repeat(begin[passage], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        return pa.table([pa.array(key[spot]), pa.array(at[spot] + np.repeat(a, times)), pa.array(at[spot] + np.repeat(b, times)), pa.array(np.full(len(spot), named))], ["key", "a", "b", "named"])
+
+    own = np.flatnonzero(~here)
+    return pa.concat_tables([spread(np.repeat(same[here], count[here]), places[:, 0], places[:, 1], False), spread(same[own], t["name"].to_numpy()[own], np.zeros(len(own), np.int64), True)])
 
 
 # ---------------------------------------------------------------- in Spark
@@ -257,7 +266,8 @@ def repeats(docs: DataFrame, folder: str, window: int = WINDOW, gram: int = GRAM
             begin = np.repeat(start, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
             stop = np.where(np.repeat(is_hot, many), begin + window, np.repeat(last, many) + window)
             name = C.span_hash(w, begin, stop)
-            route = np.where(np.repeat(is_hot, many), name, C.mix(np.repeat(h, many), 12))
+            apart = np.repeat(is_hot, many)
+            route = np.where(apart, C.mix(name, 13), C.mix(np.repeat(h, many), 12))
             where = np.repeat(row, many)
             key = b.column("key").to_numpy()[where]
             place = np.stack([key, begin - w.first[where]], axis=1)
@@ -267,13 +277,35 @@ def repeats(docs: DataFrame, folder: str, window: int = WINDOW, gram: int = GRAM
             times = np.diff(np.concatenate([new, [len(name)]]))
             pick = order[new]
             data = w.buf.tobytes()
-            passage = [data[s:e] for s, e in zip(w.start[begin[pick]].tolist(), w.end[stop[pick] - 1].tolist(), strict=True)]
+            # a passage in one spelling: its words, parted by one space
+            passage = [b" ".join([data[s:e] for s, e in zip(w.start[i:j].tolist(), w.end[i:j].tolist(), strict=True)]) if h_ else data[w.start[i] : w.end[j - 1]] for i, j, h_ in zip(begin[pick].tolist(), stop[pick].tolist(), apart[pick].tolist(), strict=True)]
             shard = (route[pick] % np.uint64(shards)).astype(np.int32)
-            yield pa.record_batch([pa.array(shard), pa.array(passage, pa.binary()), C.blobs(place[order].reshape(-1), 2 * np.concatenate([new, [len(name)]])), pa.array(times, pa.int64())], ["shard", "passage", "places", "n"])
-
-    sent = docs.join(wanted.select("key", "wanted"), "key").select("key", "text", "wanted").mapInArrow(C.tidied(cut), "shard int, passage binary, places binary, n long")
-    found = sent.groupBy("shard").applyInArrow(C.tidied_group(lambda t: search_shard(t, window)), "key long, a long, b long")
-    return C.staged(found.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), folder, "spans", compression="zstd")
+            yield pa.record_batch([pa.array(shard), pa.array(apart[pick]), pa.array(name[new].view(np.int64)), pa.array(passage, pa.binary()), C.blobs(place[order].reshape(-1), 2 * np.concatenate([new, [len(name)]])), pa.array(times, pa.int64())], ["shard", "apart", "name", "passage", "places", "n"])
+
+    sent = docs.join(wanted.select("key", "wanted"), "key").select("key", "text", "wanted").mapInArrow(C.tidied(cut), "shard int, apart boolean, name long, passage binary, places binary, n long")
+    sent = C.staged(sent, folder, "passages", compression="zstd")
+    # frequent windows are counted before they meet in a shard; a name stands for one passage, told apart by its bytes
+    frequent = sent.where("apart").groupBy("shard", "name", "passage").agg(F.sum("n").alias("n")).select("shard", "name", "passage", F.lit(None).cast("binary").alias("places"), "n")
+    given = sent.where("not apart").select("shard", "name", "passage", "places", "n").union(frequent)
+    found = C.staged(given.groupBy("shard").applyInArrow(C.tidied_group(lambda t: search_shard(t, window)), "key long, a long, b long, named boolean"), folder, "found", compression="zstd")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ranges of words: windows of one document that touch or overlap are one range."""
+        for b in batches:
+            place = C.raw(b.column("places"))[0].view(np.int64).reshape(-1, 2)
+            key, at = place[np.lexsort((place[:, 1], place[:, 0]))].T
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (at[1:] > at[:-1] + window)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(key))[: len(first)] - 1
+            yield pa.record_batch([pa.array(key[first]), pa.array(at[first]), pa.array(at[last] + window)], ["key", "a", "b"])
+
+    names = C.staged(found.where("named").select(F.col("key").alias("name")).distinct(), folder, "names")
+    if names.count() <= NAMES:  # the places then stay where they are, and windows of one document meet
+        names = F.broadcast(names)
+    again = sent.where("apart").select("name", "places").join(names, "name", "left_semi").select("places").mapInArrow(C.tidied(placed), "key long, a long, b long")
+    spans = found.where("not named").select("key", "a", "b").union(again)
+    return C.staged(spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans")), folder, "spans", compression="zstd")
 
 
 def covered(w: C.Words, spans: pa.Array) -> np.ndarray:

@@ -197,6 +197,18 @@ def test_substring_dedup(spark, docs, folder):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def test_frequent_windows_are_counted_first(spark, docs, folder, monkeypatch):
+    rng = random.Random(61)
+    passage = prose(rng, 50).split()
+    rows = [(i, " ".join([*split(prose(rng, rng.randint(0, 40))), *passage[rng.randint(0, 4) : 50 - rng.randint(0, 4)], *split(prose(rng, rng.randint(0, 40)))]).replace(" ", rng.choice([" ", "  ", "\n"]))) for i in range(80)]
+    rows += [(100, "x " * 400), (100, "x " * 400), (None, "x\t" * 90), (101, " ".join(passage)), *((r[0], r[1]) for r in nasty())]
+    want = sorted(zip((r[0] for r in rows), brute_repeats([r[1] for r in rows], 35), strict=True), key=repr)
+    for hot in (10**9, 3, 0):
+        monkeypatch.setattr(substring, "HOT", hot)
+        got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), f"{folder}/{hot}").collect()
+        assert sorted(((r.doc_id, (r.n_words, r.n_removed, r.kept_sha256)) for r in got), key=repr) == want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_fm_index_finds_every_repeated_window(seed):
     rng = random.Random(seed)
@@ -204,7 +216,7 @@ def test_fm_index_finds_every_repeated_window(seed):
     window = 6
     w = common.words(pa.array(texts))
     kept = [i for i, t in enumerate(texts) if len(t.split()) >= window]
-    table = pa.table({"passage": pa.array([texts[i].encode() for i in kept]), "places": pa.array([np.array([i, 0], np.int64).tobytes() for i in kept]), "n": pa.array([1] * len(kept), pa.int64())})
+    table = pa.table({"passage": pa.array([texts[i].encode() for i in kept]), "places": pa.array([np.array([i, 0], np.int64).tobytes() for i in kept]), "n": pa.array([1] * len(kept), pa.int64()), "name": pa.array([0] * len(kept), pa.int64())})
     got = substring.search_shard(table, window)
     covered = {i: set() for i in range(len(texts))}
     for k, a, b in zip(*(got[c].to_pylist() for c in ("key", "a", "b")), strict=True):
@@ -400,7 +412,7 @@ def test_n_best_pieces(text):
 
 
 def test_piece_table(spark, docs):
-    got = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, n=3)
+    got = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=True, n=3, with_nbest=True)
     assert got.count() == len(nasty()) and got.where("not decodes").count() == 0
     back = {r.doc_id: r.text for r in pieces.decode(got, public_tokenizers.path("piece_bpe_32k.model")).collect()}
     assert back[11] == nasty()[-1][1] and back[4] == ""
