@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -47,66 +48,69 @@ def currency(text: Column) -> Column:
     return F.coalesce(first_of([(text.contains(sign), F.lit(code)) for sign, code in SIGNS.items()]), named)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def value_unit(number: Column, unit: Column, raw: Column) -> Column:
     """struct(value, unit): money in crore with its currency, bare magnitudes as counts, percentages and the rest as they are."""
     unit, raw = F.coalesce(unit, F.lit("")), F.coalesce(raw, F.lit(""))
     both = F.concat_ws(" ", unit, raw)
-    factor, money = F.coalesce(magnitude(unit), magnitude(raw)), currency(both)
     percent = both.contains("%") | both.rlike(r"(?i)\bpercent(age)?\b")
-    value = F.when(percent | factor.isNull(), number).when(money.isNotNull(), F.round(number * factor / CRORE, 4)).otherwise(number * factor)
-    kind = F.when(percent, "%").when(factor.isNull(), empty_as_null(strip(unit))).when(money.isNotNull(), F.concat(money, F.lit(" crore"))).otherwise("count")
-    return F.struct(value.cast("double").alias("value"), F.when(number.isNotNull(), kind).alias("unit"))
+    facts = F.struct(number.cast("double").alias("number"), unit.alias("unit"), F.coalesce(magnitude(unit), magnitude(raw)).alias("factor"), currency(both).alias("money"), percent.alias("percent"))
+
+    def decided(x: Column) -> Column:
+        n, factor, money = x["number"], x["factor"], x["money"]
+        value = F.when(x["percent"] | factor.isNull(), n).when(money.isNotNull(), F.round(n * factor / CRORE, 4)).otherwise(n * factor)
+        kind = F.when(x["percent"], "%").when(factor.isNull(), empty_as_null(strip(x["unit"]))).when(money.isNotNull(), F.concat(money, F.lit(" crore"))).otherwise("count")
+        return F.struct(value.alias("value"), F.when(n.isNotNull(), kind).alias("unit"))
+
+    return let(facts, decided)
+
+
+#: Forms of period labels, the first that fits counts; what each captures, parted by bars, behind the form's name.
+PERIODS = (
+    ("half", r"\bH([12])\s*FY\s*(\d{2,4})\b", "$1|$2"),
+    ("quarter", r"\bQ([1-4])\s*FY\s*(\d{2,4})\b", "$1|$2"),
+    ("span", r"\bFY\s*(\d{4})\s*[-/]\s*(\d{2,4})\b", "$1|$2"),
+    ("year", r"\bFY\s*(\d{2,4})\b", "$1"),
+    ("day", rf"\b({'|'.join(MONTHS)})\s+(\d{{1,2}}),?\s+(\d{{4}})\b", "$1|$2|$3"),
+    ("calendar", r"^((?:19|20)\d{2})$", "$1"),
+    ("bare", r"^(20\d{2})[-/](\d{2})$", "$1|$2"),
+)
 
 
 def period(label: Column) -> Column:
-    """struct(start, end, label) of a period label; fiscal years run from April to March and are named by their end."""
+    """struct(start, end, label) of a period label; fiscal years run from April to March and are named by their end.
+    A label is matched once into its form and numbers; the rest is arithmetic on years."""
     text = strip(label)
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
-
-    def padded(year: Column) -> Column:
-        return year.cast("string")
-
-    def year(digits: Column) -> Column:
-        n = digits.cast("int")
-        return F.when(n < 100, n + 2000).otherwise(n)
-
-    def dated(y: Column, rest: str) -> Column:
-        return F.concat(padded(y), F.lit(rest))
-
-    def start4(y: Column) -> Column:
-        """Four characters of the start date, as its year."""
-        return F.substring(dated(y - 1, "-04-01"), 1, 4)
-
-    def fiscal(y: Column) -> tuple[Column, Column]:
-        return dated(y - 1, "-04-01"), dated(y, "-03-31")
-
-    half, quarter = r"(?i)\bH([12])\s*FY\s*(\d{2,4})\b", r"(?i)\bQ([1-4])\s*FY\s*(\d{2,4})\b"
-    span, single = r"(?i)\bFY\s*(\d{4})\s*[-/]\s*(\d{2,4})\b", r"(?i)\bFY\s*(\d{2,4})\b"
-    day, calendar, bare = rf"(?i)\b({'|'.join(MONTHS)})\s+(\d{{1,2}}),?\s+(\d{{4}})\b", r"^(19|20)\d{2}$", r"^(20\d{2})[-/](\d{2})$"
-
-    hy = year(part(half, 2))
-    first_half = part(half, 1) == "1"
-    qy, q = year(part(quarter, 2)), part(quarter, 1)
-    before = F.substring(dated(qy - 1, "-04-01"), 1, 4).cast("int")
-    q_start = first_of([(q == n, F.concat(F.lpad((before + extra).cast("string"), 4, "0"), F.lit(f"-{m}-01"))) for n, m, extra in (("1", "04", 0), ("2", "07", 0), ("3", "10", 0), ("4", "01", 1))])
-    q_end = first_of([(q == n, F.concat(F.lpad((before + extra).cast("string"), 4, "0"), F.lit(rest))) for n, rest, extra in (("1", "-06-30", 0), ("2", "-09-30", 0), ("3", "-12-31", 0), ("4", "-03-31", 1))])
-    end_part = part(span, 2)
-    sy = year(F.when(F.length(end_part) == 4, end_part).otherwise(F.concat(F.substring(part(span, 1), 1, 2), end_part)))
-    month = first_of([(F.lower(part(day, 1)) == name, F.lit(f"{i:02d}")) for i, name in enumerate(MONTHS, 1)])
-    date = F.concat_ws("-", part(day, 3), month, F.lpad(part(day, 2), 2, "0"))
-    by = year(F.concat(F.substring(part(bare, 1), 1, 2), part(bare, 2)))
-    cases = [
-        (half, F.when(first_half, fiscal(hy)[0]).otherwise(F.concat(start4(hy), F.lit("-10-01"))), F.when(first_half, F.concat(start4(hy), F.lit("-09-30"))).otherwise(fiscal(hy)[1])),
-        (quarter, q_start, q_end),
-        (span, *fiscal(sy)),
-        (single, *fiscal(year(part(single, 1)))),
-        (day, date, date),
-        (calendar, F.concat(text, F.lit("-01-01")), F.concat(text, F.lit("-12-31"))),
-        (bare, *fiscal(by)),
-    ]
-    return F.struct(first_of([(text.rlike(p), a) for p, a, _ in cases]).alias("start"), first_of([(text.rlike(p), b) for p, _, b in cases]).alias("end"), F.when(label != "", text).alias("label"))
+    found = first_of([(text.rlike(f"(?i){pattern}"), F.concat(F.lit(f"{name}|"), F.regexp_replace(text, f"(?is)^.*?{pattern.removeprefix('^')}.*$", shown))) for name, pattern, shown in PERIODS])
+
+    def full(year: Column) -> Column:
+        return F.when(year < 100, year + 2000).otherwise(year)
+
+    def bounds(p: Column) -> Column:
+        form, one, two, three = (F.get(p, F.lit(i)) for i in range(4))
+        a, b = one.cast("int"), two.cast("int")
+        # the fiscal year's end, for the forms that name one
+        joined = F.when(F.length(two) == 4, two).otherwise(F.concat(F.substring(one, 1, 2), two)).cast("int")
+        end = full(F.when(form.isin("half", "quarter"), b).when(form.isin("span", "bare"), joined).when(form == "year", a))
+        # quarters of the fiscal year that are covered: first and last
+        first = F.when(form == "half", 2 * a - 1).when(form == "quarter", a).otherwise(1)
+        last = F.when(form == "half", 2 * a).when(form == "quarter", a).otherwise(4)
+
+        def at(year: Column, quarter: Column, rests: tuple[str, ...]) -> Column:
+            return F.concat(F.when(quarter == 4, year).otherwise(year - 1).cast("string"), F.element_at(F.array(*map(F.lit, rests)), quarter))
+
+        month = first_of([(F.lower(one) == name, F.lit(f"{i:02d}")) for i, name in enumerate(MONTHS, 1)])
+        date = F.concat_ws("-", three, month, F.lpad(two, 2, "0"))
+        start = F.when(form == "day", date).when(form == "calendar", F.concat(one, F.lit("-01-01"))).otherwise(at(end, first, ("-04-01", "-07-01", "-10-01", "-01-01")))
+        stop = F.when(form == "day", date).when(form == "calendar", F.concat(one, F.lit("-12-31"))).otherwise(at(end, last, ("-06-30", "-09-30", "-12-31", "-03-31")))
+        return F.struct(start.alias("start"), stop.alias("end"))
+
+    none = F.struct(F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("end"))
+    return let(F.struct(F.when(found.isNotNull(), F.split(found, r"\|")).alias("p"), F.when(label != "", text).alias("label")), lambda x: let(F.when(x["p"].isNotNull(), bounds(x["p"])).otherwise(none), lambda y: F.struct(y["start"].alias("start"), y["end"].alias("end"), x["label"].alias("label"))))
 
 
 def status_of(*texts: Column) -> Column:

@@ -10,6 +10,7 @@ from .normalize import empty_as_null, strip
 # Thresholds for complex pages, tables and chart texts.
 DRAWINGS, SOME_DRAWINGS, DENSITY, SPARSE_CHARS, TABLE_DIGITS = 40, 5, 0.03, 400, 6
 TABLE_FILL, TABLE_CELL, TABLE_CELLS = 0.35, 1.5, 15
+CHART_WORDS = r"(?i)\b(chart|figure|exhibit|graph|fig\.)\b"
 CHART_CHARS, CHART_DIGITS, CHART_CONFIDENCE = 60, 8, 0.35
 
 
@@ -29,17 +30,20 @@ def may_hold_table(text: Column) -> Column:
     return digits(text) >= TABLE_DIGITS
 
 
-def complexity(text: Column, images: Column, drawings: Column, area: Column, keyword: Column, tables: Column) -> Column:
-    """struct(is_complex, reason) from counts of a page's images, drawings and tables, its area and whether it names a chart."""
-    plain = strip(F.coalesce(text, F.lit("")))
-    sparse = (F.length(plain) / F.greatest(area, F.lit(1.0)) < DENSITY) & (F.length(plain) < SPARSE_CHARS) & ((images >= 1) | (drawings >= SOME_DRAWINGS))
+def complexity(text: Column, images: Column, drawings: Column, area: Column, tables: Column | None = None) -> Column:
+    """struct(is_complex, reason) from a page's text, its images and drawings, its area and its tables. Sparse text alone says nothing of a page
+    without anything to see; naming a chart is a reason that makes no page complex."""
+    raw = F.coalesce(text, F.lit(""))
+    density = F.length(raw) / F.greatest(area, F.lit(1.0))
+    sparse = (density < DENSITY) & (F.length(strip(raw)) < SPARSE_CHARS) & ((images >= 1) | (drawings >= SOME_DRAWINGS))
     reasons = [
         F.when(images >= 1, F.concat(images.cast("string"), F.lit(" embedded image(s)"))),
-        F.when(drawings >= DRAWINGS, F.concat(drawings.cast("string"), F.lit(" vector drawings"))),
-        F.when(sparse, "sparse text with visual content"),
-        F.when(keyword, "chart/table keyword present"),
-        F.when(tables >= 1, F.concat(tables.cast("string"), F.lit(" table(s) detected"))),
+        F.when(drawings >= DRAWINGS, F.concat(drawings.cast("string"), F.lit(" vector drawing ops"))),
+        F.when(raw.rlike(CHART_WORDS), "chart/figure keyword present"),
+        F.when(sparse, F.format_string("low text density (%.4f) alongside visual content", density)),
     ]
+    if tables is not None:
+        reasons.append(F.when(tables >= 1, F.concat(tables.cast("string"), F.lit(" table(s) detected"))))
     return F.struct(((images >= 1) | (drawings >= DRAWINGS) | sparse).alias("is_complex"), F.concat_ws("; ", *reasons).alias("reason"))
 
 

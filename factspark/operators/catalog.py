@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import value_text
@@ -23,13 +24,21 @@ def with_filename(facts: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def list_documents(documents: DataFrame, facts: DataFrame, relationships: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Documents with their facts, their relationships (on the side of fact a) and their latest job's status."""
+    """Documents with their facts, their relationships (on the side of fact a) and their latest job's status; newest first where they have a time."""
     n_facts = facts.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("fact_count"))
     owner = facts.select(F.col("id").alias("fact_a_id"), "document_id")
-    n_links = relationships.join(owner, "fact_a_id").groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("relationship_count"))
+    # counted by fact before the join, so no more rows than facts are joined
+    per_fact = relationships.groupBy("fact_a_id").agg(F.count("*").alias("n"))
+    n_links = per_fact.join(owner, "fact_a_id").groupBy(F.col("document_id").alias("id")).agg(F.sum("n").alias("relationship_count"))
     latest = jobs.groupBy(F.col("document_id").alias("id")).agg(F.max_by("status", F.struct("created_at", "id")).alias("latest_job_status"))
     out = documents.join(n_facts, "id", "left").join(n_links, "id", "left").join(latest, "id", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fact_count", "relationship_count")})
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("fact_count", "relationship_count")})
+    return out.orderBy(F.desc("created_at"), "id") if "created_at" in out.columns else out
+
+
+def list_issues(issues: DataFrame, document_id: str | None = None, limit: int = 200) -> DataFrame:
+    """The newest extraction issues, of one document or of all."""
+    return newest(issues if document_id is None else issues.where(F.col("document_id") == document_id), limit)
 
 
 def like(column: Column, search: str) -> Column:
@@ -74,10 +83,17 @@ def expanded_relationships(relationships: DataFrame, facts: DataFrame, relations
 
 def touching(relationships: DataFrame, facts: DataFrame, newest_rows: int = 2000, limit: int = 5) -> DataFrame:
     """Of the newest relationships the first that touch one of these facts on either side."""
+    return touching_each(relationships, facts.select(F.lit(0).alias("query_id"), "id"), newest_rows, limit).drop("query_id", "rank")
+
+
+def touching_each(relationships: DataFrame, facts: DataFrame, newest_rows: int = 2000, limit: int = 5) -> DataFrame:
+    """For each question (facts: query_id, id), of the newest relationships the first that touch one of its facts on either side, with their rank."""
     recent = newest(relationships, newest_rows)
-    ends = recent.select("id", F.explode(F.array("fact_a_id", "fact_b_id")).alias("fact"))
-    hit = ends.join(facts.select(F.col("id").alias("fact")), "fact", "left_semi").select("id").distinct()
-    return newest(recent.join(hit, "id", "left_semi"), limit)
+    ends = recent.select(F.col("id").alias("link"), F.explode(F.array("fact_a_id", "fact_b_id")).alias("fact"))
+    hit = ends.join(facts.select("query_id", F.col("id").alias("fact")), "fact").select("query_id", "link").distinct()
+    order = W.partitionBy("query_id").orderBy(F.desc("created_at"), "id")
+    found = hit.join(recent, F.col("link") == F.col("id")).drop("link").withColumn("rank", F.row_number().over(order))
+    return found.where(F.col("rank") <= limit)
 
 
 def failed_pages(issues: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -23,9 +23,11 @@ FIELDS = ("id", "subject", "predicate", "normalized_value", "normalized_unit", "
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     memo: dict[tuple[str, str], float] = {}
 
-    def ratio(x: str, y: str) -> float:
+    def ratio(x: str | None, y: str | None) -> float:
+        if x is None or y is None:
+            return 1.0
         if (x, y) not in memo:
-            memo[x, y] = 1.0 if x == y else difflib.SequenceMatcher(None, x, y).ratio()
+            memo[x, y] = difflib.SequenceMatcher(None, x, y).ratio()
         return memo[x, y]
 
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
@@ -37,7 +39,9 @@ def tidy(x: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """The share of matching signs of two wordings; not symmetric, so always from the source fact to the candidate."""
-    return _ratio(tidy(a), tidy(b))
+    a, b = tidy(a), tidy(b)
+    # equal wordings need no look in Python
+    return F.when(a == b, 1.0).otherwise(_ratio(F.when(a != b, a), F.when(a != b, b)))
 
 
 def may_reach(a: Column, b: Column, threshold: float) -> Column:
@@ -96,17 +100,23 @@ def classify(pairs: DataFrame) -> DataFrame:
     })
 
 
-def relate(candidates: DataFrame, facts: DataFrame, known: DataFrame | None = None, classifier=None) -> tuple[DataFrame, DataFrame]:
+def relate(candidates: DataFrame, facts: DataFrame, known: DataFrame | None = None, classifier=None, evidence: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(new relationships, undecided pairs for review). Each pair is taken once: from the lesser id if that orientation is plausible, else from
-    the other. A classifier may decide what the rules leave open."""
+    the other. A classifier may decide what the rules leave open; pairs that it gives no type, or does not give back, stay open. With evidence (fact_id,
+    text) open pairs carry the first EVIDENCE_CHARS signs of each side's, as a_evidence and b_evidence."""
     judged = classify(plausible(pair_up(candidates.select("a_id", "b_id").distinct(), facts)))
     pair = F.struct(F.least("a_id", "b_id").alias("x"), F.greatest("a_id", "b_id").alias("y"))
     first = judged.withColumn("pair", pair).groupBy("pair").agg(F.min_by(F.struct(*judged.columns), "a_id").alias("j")).select("j.*")
     open_ = first.where("relationship_type is null")
     done = first.where("relationship_type is not null").withColumn("method", F.lit("rule"))
+    if evidence is not None:
+        cut = evidence.groupBy("fact_id").agg(F.substring(F.min("text"), 1, EVIDENCE_CHARS).alias("text"))
+        for side in ("a", "b"):
+            open_ = open_.join(cut.select(F.col("fact_id").alias(f"{side}_id"), F.col("text").alias(f"{side}_evidence")), f"{side}_id", "left")
     if classifier is not None:
-        done = done.unionByName(classifier(open_).withColumn("method", F.lit("model")).select(*done.columns))
-        open_ = open_.limit(0)
+        decided = classifier(open_).where("relationship_type is not null").withColumn("method", F.lit("model"))
+        done = done.unionByName(decided.select(*done.columns))
+        open_ = open_.join(decided.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti")
     compat = F.when(F.col("confidence") >= 0.9, "rule").otherwise("llm")
     edges = done.where("relationship_type <> 'UNRELATED'").select(relationship_id(F.col("a_id"), F.col("b_id")).alias("id"), F.col("a_id").alias("fact_a_id"), F.col("b_id").alias("fact_b_id"), "relationship_type", "confidence", "context_dimension", "reason", "method", compat.alias("method_ref_compat"))
     if known is not None:

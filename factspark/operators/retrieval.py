@@ -3,29 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import NO_CONTEXT, index_terms, query_terms
+from ..functions.text import NO_CONTEXT, index_terms, query_terms, term_count
 
 # BM25's constants and least weight, the constant of rank fusion, and how many results each step keeps.
 K1, B, LEAST_WEIGHT, RRF_K = 1.2, 0.75, 1e-6, 60
+#: Rows of queries and of vectors that one task compares.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
 FAN_IN, FUSED_FACTS, FUSED_EVIDENCE, TOP_FACTS, TOP_EVIDENCE = 20, 15, 10, 6, 5
 
 
 def bm25(texts: DataFrame, questions: DataFrame, k: int | None = FAN_IN, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """query_id, id, score (lower is better), rank from 1, for questions (query_id, question); all matches if k is None.
 
-    Only postings of asked terms are kept: they are found while the corpus is read once, and the corpus's size and mean
-    length come from the same narrow table. The question table is broadcast if Spark finds it small."""
+    Only postings of asked terms are kept, and they are made once for weights and scores; the corpus's size and mean length come from
+    counting terms without building them. The question table is broadcast if Spark finds it small."""
     asked = questions.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(query_terms(F.col("question")), index_terms)))).alias("term"))
     tokens = texts.select(F.col(id_col).alias("id"), index_terms(F.col(text_col)).alias("tokens"))
-    lengths = tokens.select("id", F.size("tokens").alias("length"))
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    corpus = texts.select(term_count(F.col(text_col)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     postings = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = postings.groupBy("term").agg(F.count("tf").alias("df"))  # counted by tf, so both uses of postings are one exchange
     weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(corpus)).select("term", "mean", F.when(weight <= 0, LEAST_WEIGHT).otherwise(weight).alias("weight"))  # corpus is one row
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -38,55 +40,62 @@ def ranked(scored: DataFrame, score: str, key: str, k: int | None) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = FAN_IN, drop_self: bool = False) -> DataFrame:
-    """query_id, id, distance, rank: the exact k nearest vectors (id, embedding) of each query (query_id, embedding), ties to the
-    lesser id. Blocks of queries meet blocks of vectors in numpy; each pair of blocks returns k rows a query."""
+    """query_id, id, distance, rank: the exact k nearest vectors (id, embedding) of each query (query_id, embedding), ties to the lesser id.
+
+    Both sides are cut into blocks by their counted rows; each pair of blocks is compared in numpy and returns k rows a query, all
+    rows at the k-th distance considered. Distances are squared and rounded to six places."""
     import numpy as np
     import pyarrow as pa
 
-    blocks = 16
+    left = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    right = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows, columns = max(1, -(-left.count() // QUERY_BLOCK)), max(1, -(-right.count() // VECTOR_BLOCK))
 
-    def block(c: str) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    def block(n: int) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
 
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.lit(True).alias("q"), F.lit(0).alias("i"), every.alias("j"))
-    right = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.lit(False).alias("q"), F.lit(0).alias("i"), block("id").alias("j"))
+    def each(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    placed = left.select("id", "v", F.lit(True).alias("q"), block(rows).alias("i"), each(columns).alias("j"))
+    placed = placed.union(right.select("id", "v", F.lit(False).alias("q"), each(rows).alias("i"), block(columns).alias("j")))
 
     def kernel(t: pa.Table) -> pa.Table:
         q, ids = t["q"].to_numpy(), t["id"].to_numpy()
-        v = t["v"].combine_chunks()
-        flat = v.flatten().to_numpy()
-        out: list[tuple[int, int, float]] = []
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if q.any() and not q.all():
-            x = flat.reshape(len(ids), -1)
+            x = t["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             base, own = x[~q], ids[~q]
+            square = (base * base).sum(axis=1)
             for at in range(0, int(q.sum()), 256):
                 asked, names = x[q][at : at + 256], ids[q][at : at + 256]
-                about = (base**2).sum(axis=1)[None, :] - 2 * asked @ base.T
+                about = square[None, :] - 2 * asked @ base.T + (asked * asked).sum(axis=1)[:, None]
                 if drop_self:
                     about[names[:, None] == own[None, :]] = np.inf
-                take = min(k + 8, len(own))
-                near = np.argpartition(about, take - 1, axis=1)[:, :take]
-                for name, vector, rows in zip(names.tolist(), asked, near, strict=True):
-                    exact = np.round(((base[rows] - vector) ** 2).sum(axis=1), 6)
-                    order = np.lexsort((own[rows], exact))
-                    out += [(name, int(own[rows[o]]), float(exact[o])) for o in order if not (drop_self and own[rows[o]] == name)][:k]
-        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.float64())], ["query_id", "id", "distance"])
+                last = min(k, len(own)) - 1
+                # all that rounding could put among the first k
+                limit = np.partition(about, last, axis=1)[:, last] + 2e-6 + 1e-9 * square.max(initial=1.0)
+                row, near = np.nonzero((about <= limit[:, None]) & np.isfinite(about))
+                exact = np.round(((base[near] - asked[row]) ** 2).sum(axis=1), 6)
+                order = np.lexsort((own[near], exact, row))
+                row, near, exact = row[order], near[order], exact[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < k
+                found.append((names[row[first]], own[near[first]], exact[first]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "id", "distance"])
 
-    return ranked(left.union(right).groupBy("i", "j").applyInArrow(kernel, "query_id long, id long, distance double"), "distance", "id", k)
+    return ranked(placed.groupBy("i", "j").applyInArrow(kernel, "query_id long, id long, distance double"), "distance", "id", k)
 
 
 def fuse(lists: list[DataFrame], k: int | None = None) -> DataFrame:
-    """query_id, id, score, rank from ranked lists (query_id, id, rank from 1); ties keep the earlier list's order."""
-    every = lists[0].select("query_id", "id", "rank", F.lit(0).alias("list"))
+    """query_id, id, score, rank from ranked lists (query_id, id, rank from 1, each id once a query); ties keep the earlier list's order."""
+    joined = lists[0].select("query_id", "id", F.col("rank").alias("rank0"))
     for i, x in enumerate(lists[1:], 1):
-        every = every.unionByName(x.select("query_id", "id", "rank", F.lit(i).alias("list")))
-    fused = every.groupBy("query_id", "id").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("seen"))
+        joined = joined.join(x.select("query_id", "id", F.col("rank").alias(f"rank{i}")), ["query_id", "id"], "full")
+    ranks = [F.col(f"rank{i}") for i in range(len(lists))]
+    score = reduce(Column.__add__, [F.coalesce(1.0 / (RRF_K + r), F.lit(0.0)) for r in ranks])
+    seen = F.coalesce(*(F.when(r.isNotNull(), F.struct(F.lit(i).alias("list"), r.alias("rank"))) for i, r in enumerate(ranks)))
+    fused = joined.select("query_id", "id", score.alias("score"), seen.alias("seen"))
     order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "seen")
     out = fused.withColumn("rank", F.row_number().over(order)).drop("seen")
     return out if k is None else out.where(F.col("rank") <= k)
@@ -104,14 +113,23 @@ def rerank(fused: DataFrame, k: int, scorer: Callable[[DataFrame], DataFrame] |
     return scorer(fused).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def reassociate(ranks: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of ranked ids, with their rank; unknown ids are dropped."""
-    return ranks.join(rows, "id")
-
-
-def context(facts: DataFrame, evidence: DataFrame, links: DataFrame) -> DataFrame:
-    """query_id, context: lines of facts, evidence and relationships in rank order. Each input is a few rows a query."""
-    lines = facts.select("query_id", F.lit(0).alias("part"), "rank", F.concat(F.lit("FACT: "), "retrieval_text", F.lit(" (source: "), "document_filename", F.lit(")")).alias("line"))
-    lines = lines.unionByName(evidence.select("query_id", F.lit(1).alias("part"), "rank", F.concat(F.lit("EVIDENCE ["), "document_filename", F.lit(" p."), F.col("pdf_page_number").cast("string"), F.lit("]: "), F.substring(F.coalesce("text", F.lit("")), 1, 400)).alias("line")))
-    lines = lines.unionByName(links.select("query_id", F.lit(2).alias("part"), "rank", F.concat(F.lit("RELATIONSHIP: "), "relationship_type", F.lit(" - "), F.coalesce("reason", F.lit(""))).alias("line")))
-    return lines.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("part", "rank", "line"))).alias("x")).select("query_id", F.coalesce(F.array_join(F.transform("x", lambda v: v["line"]), "\n"), F.lit(NO_CONTEXT)).alias("context"))
+def context(questions: DataFrame, facts: DataFrame, evidence: DataFrame, links: DataFrame) -> DataFrame:
+    """query_id, n_facts, n_evidence, context for every question: lines of facts, evidence and relationships in rank order. Each input is a few rows a
+    query; a question without any has a context that says so."""
+
+    def lines(rows: DataFrame, name: str, line: Column) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+        return rows.groupBy("query_id").agg(F.transform(ordered, lambda x: x["line"]).alias(name))
+
+    source = F.col("document_filename")
+    parts = {
+        "fact_lines": lines(facts, "fact_lines", F.concat(F.lit("FACT: "), "retrieval_text", F.lit(" (source: "), source, F.lit(")"))),
+        "evidence_lines": lines(evidence, "evidence_lines", F.concat(F.lit("EVIDENCE ["), source, F.lit(" p."), F.col("pdf_page_number").cast("string"), F.lit("]: "), F.substring(F.coalesce("text", F.lit("")), 1, 400))),
+        "link_lines": lines(links, "link_lines", F.concat(F.lit("RELATIONSHIP: "), "relationship_type", F.lit(" - "), F.coalesce("reason", F.lit("")))),
+    }
+    out = questions.select("query_id")
+    for part in parts.values():
+        out = out.join(part, "query_id", "left")
+    some = [F.coalesce(name, F.array().cast("array<string>")) for name in parts]
+    text = F.array_join(F.concat(*some), "\n")
+    return out.select("query_id", F.size(some[0]).alias("n_facts"), F.size(some[1]).alias("n_evidence"), F.when(text == "", NO_CONTEXT).otherwise(text).alias("context"))

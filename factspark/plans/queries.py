@@ -38,8 +38,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df, made of source, over all cores where source has fewer files than cores, for work that costs far more than moving the rows; a table of many
+    files is left as Spark splits it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(source.inputFiles()) < cores else df
+
+
 def facts_src(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FACTS, orders=load(spark, sf_dir, "orders"), customer=load(spark, sf_dir, "customer"))
+    orders = load(spark, sf_dir, "orders")
+    return spark.sql(FACTS, orders=spread(orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"), orders), customer=load(spark, sf_dir, "customer"))
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -93,7 +101,10 @@ SQL_STATUS = case([(f"contains(lower(status_text), '{p}')", f"'{s}'") for p, s i
 
 
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts_src(spark, sf_dir)
+    return normalise(facts_src(spark, sf_dir))
+
+
+def normalise(f: DataFrame) -> DataFrame:
     f = f.withColumn("n", normalize.value_unit(F.col("numeric_value"), F.col("raw_unit"), F.col("raw_value"))).withColumn("p", normalize.period(F.col("period_label")))
     return f.withColumns({"normalized_value": F.col("n.value"), "normalized_unit": F.col("n.unit"), "period_start": F.col("p.start"), "period_end": F.col("p.end"), "status": normalize.status_of(F.col("status_text"))}).drop("n", "p")
 
@@ -113,9 +124,11 @@ def infer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalized(spark, sf_dir).select("id", "status")
 
 
-@query(ORACLE_FACTS + SQL_UNITS + f", z AS (SELECT *, {SQL_PERIODS} FROM v) SELECT normalized_unit, period_start, count(*) AS facts, CAST(sum(CAST(floor(normalized_value / 1e7) AS BIGINT)) AS BIGINT) AS total FROM z GROUP BY 1, 2")
+@query(ORACLE_FACTS + SQL_UNITS + f", z AS (SELECT *, {SQL_PERIODS} FROM v) SELECT normalized_unit, period_start, count(*) AS facts, CAST(sum(CAST(CASE WHEN normalized_unit = 'count' THEN round(normalized_value) ELSE normalized_value END AS DECIMAL(28,4))) AS DOUBLE) AS total FROM z GROUP BY 1, 2")
 def facts_by_unit_and_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalized(spark, sf_dir).groupBy("normalized_unit", "period_start").agg(F.count("*").alias("facts"), F.sum(F.floor(F.col("normalized_value") / 1e7)).alias("total"))
+    """Sums are made as exact decimals and shown as doubles; counts are whole numbers, so the noise of their factors is cut."""
+    exact = F.when(F.col("normalized_unit") == "count", F.round("normalized_value")).otherwise(F.col("normalized_value")).cast("decimal(28,4)")
+    return normalized(spark, sf_dir).groupBy("normalized_unit", "period_start").agg(F.count("*").alias("facts"), F.sum(exact).cast("double").alias("total"))
 
 
 @query(ORACLE_FACTS + """ SELECT id, 'fa_' || substr(sha256(document_id || '||' || 'e' || id || ',' || 'f' || id || '||' || subject || '||' || predicate || '||' || raw_value || '||' || coalesce(period_label, '')), 1, 24) AS fact_id,
@@ -218,12 +231,12 @@ def relationships_touching(spark: SparkSession, sf_dir: str) -> DataFrame:
 def issues_and_evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = load(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "error", catalog.FACT_ERROR).otherwise(F.col("event_type"))
-    issues = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("document_id"), (F.col("event_id") % 500).alias("evidence_id"), kind.alias("issue_type"))
-    evidence = e.where("event_id < 500").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 9 != 0, F.col("event_id") % 40).alias("page_id"))
+    issues = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("document_id"), (F.col("event_id") - F.col("event_id") % 3).alias("evidence_id"), kind.alias("issue_type"))
+    evidence = e.select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 9 != 0, F.col("event_id") % 4000).alias("page_id"))
     return issues, evidence
 
 
-SQL_ISSUES = "WITH i AS (SELECT event_id AS id, user_id % 20 AS document_id, event_id % 500 AS evidence_id, CASE WHEN event_type = 'error' THEN 'fact_extraction_error' ELSE event_type END AS issue_type FROM events), e AS (SELECT event_id AS id, CASE WHEN event_id % 9 <> 0 THEN event_id % 40 END AS page_id FROM events WHERE event_id < 500)"
+SQL_ISSUES = "WITH i AS (SELECT event_id AS id, user_id % 20 AS document_id, event_id - event_id % 3 AS evidence_id, CASE WHEN event_type = 'error' THEN 'fact_extraction_error' ELSE event_type END AS issue_type FROM events), e AS (SELECT event_id AS id, CASE WHEN event_id % 9 <> 0 THEN event_id % 4000 END AS page_id FROM events)"
 
 
 @query(SQL_ISSUES + " SELECT DISTINCT document_id, page_id FROM i JOIN e ON e.id = evidence_id WHERE issue_type = 'fact_extraction_error' AND page_id IS NOT NULL")
@@ -231,10 +244,10 @@ def failed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.failed_pages(*issues_and_evidence(spark, sf_dir))
 
 
-@query(SQL_ISSUES + " SELECT id, document_id, evidence_id, issue_type FROM i WHERE NOT (issue_type = 'fact_extraction_error' AND evidence_id IN (SELECT id FROM e WHERE page_id < 10))")
+@query(SQL_ISSUES + " SELECT id, document_id, evidence_id, issue_type FROM i WHERE NOT (issue_type = 'fact_extraction_error' AND evidence_id IN (SELECT id FROM e WHERE page_id < 1000))")
 def clear_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues, evidence = issues_and_evidence(spark, sf_dir)
-    return catalog.clear_errors(issues, evidence, evidence.where("page_id < 10").select("page_id").distinct())
+    return catalog.clear_errors(issues, evidence, evidence.where("page_id < 1000").select("page_id").distinct())
 
 
 def jobs_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +305,7 @@ def merge_update_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.update_columns(*event_halves(spark, sf_dir), ["user_id"], ["value"], "event_id")
 
 
-FOLD = "translate(lower(coalesce({x}, '')), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+FOLD = "strip_accents(lower(coalesce({x}, '')))"
 SQL_BM25 = rf"""t AS (SELECT doc_id AS id, list_filter(regexp_split_to_array({FOLD.format(x='text')}, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
 q AS (SELECT item_id AS query_id, unnest(list_distinct(flatten(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9%]+'), lambda x: length(x) > 1)[1:12], lambda x: list_filter(regexp_split_to_array({FOLD.format(x='x')}, '[^\p{{L}}\p{{N}}]+'), lambda y: y <> ''))))) AS term FROM benchmark),
 c AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), p AS (SELECT id, len(w) AS dl, unnest(w) AS term FROM t), tf AS (SELECT id, dl, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY ALL),
@@ -303,7 +316,8 @@ lexical AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, i
 
 def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return retrieval.bm25(load(spark, sf_dir, "documents"), questions, id_col="doc_id")
+    documents = load(spark, sf_dir, "documents")
+    return retrieval.bm25(spread(documents.select("doc_id", "text"), documents), questions, id_col="doc_id")
 
 
 @query("WITH " + SQL_BM25 + " SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM lexical")
@@ -337,10 +351,11 @@ def fts_query_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Normalised facts, and candidates that pair each copied fact with its copy."""
-    f = normalized(spark, sf_dir)
-    pairs = f.where("copy = 0 and k % 20 = 0").select(F.col("id").alias("a_id"), (F.col("id") + 1).alias("b_id"))
-    return f, pairs
+    """Candidates that pair each copied fact with its copy, and the normalised facts that they name."""
+    raw = facts_src(spark, sf_dir)
+    pairs = raw.where("copy = 1").select((F.col("id") - 1).alias("a_id"), F.col("id").alias("b_id"))
+    named = pairs.select(F.explode(F.array("a_id", "b_id")).alias("id"))
+    return normalise(raw.join(named, "id", "left_semi")), pairs
 
 
 SQL_RULES = ORACLE_FACTS + SQL_UNITS + f""", z AS (SELECT *, {SQL_PERIODS}, {SQL_STATUS} AS status FROM v), p AS (SELECT a.id AS a_id, b.id AS b_id, lower(coalesce(a.scope, '')) = lower(coalesce(b.scope, '')) AS sc, coalesce(a.status, '') = coalesce(b.status, '') AS st,
@@ -365,9 +380,9 @@ def relate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relate.plausible(a.join(b, F.col("b_id") == F.col("a_id") + 1)).select("a_id", "b_id", "subject_sim", "predicate_sim")
 
 
-@query(ORACLE_FACTS + " SELECT a.id AS a_id, b.id AS b_id, " + " OR ".join(f"(contains(lower(a.predicate), '{m}') <> contains(lower(b.predicate), '{m}'))" for m in text.MARKERS) + " AS asymmetric FROM f a JOIN f b ON b.k = a.k + 1 AND a.copy = 0 AND b.copy = 0")
+@query(ORACLE_FACTS + " SELECT a.id AS a_id, b.id AS b_id, " + " OR ".join(f"(contains(lower(a.predicate), '{m}') <> contains(lower(b.predicate), '{m}'))" for m in text.MARKERS) + " AS asymmetric FROM f a JOIN f b ON b.k = a.k + 1")
 def asymmetric_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = facts_src(spark, sf_dir).where("copy = 0")
+    f = facts_src(spark, sf_dir)
     a, b = f.select(F.col("id").alias("a_id"), F.col("k").alias("ak"), F.col("predicate").alias("pa")), f.select(F.col("id").alias("b_id"), F.col("k").alias("bk"), F.col("predicate").alias("pb"))
     return a.join(b, F.col("bk") == F.col("ak") + 1).select("a_id", "b_id", text.asymmetric_marker(F.col("pa"), F.col("pb")).alias("asymmetric"))
 
@@ -418,11 +433,15 @@ def confidence_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.confidence_label(c).alias("label"))
 
 
-@query("SELECT p_partkey, (i >= 1 OR d >= 40 OR sparse) AS is_complex, concat_ws('; ', CASE WHEN i >= 1 THEN i || ' embedded image(s)' END, CASE WHEN d >= 40 THEN d || ' vector drawings' END, CASE WHEN sparse THEN 'sparse text with visual content' END, CASE WHEN kw THEN 'chart/table keyword present' END, CASE WHEN t >= 1 THEN t || ' table(s) detected' END) AS reason FROM (SELECT *, length(p_name) / 500.0 < 0.03 AND length(p_name) < 400 AND (i >= 1 OR d >= 5) AS sparse FROM (SELECT p_partkey, p_name, CASE WHEN p_size % 5 = 0 THEN 1 ELSE 0 END AS i, p_size AS d, p_size % 7 = 0 AS kw, p_size % 3 AS t FROM part))")
+@query(r"""WITH p AS (SELECT doc_id, coalesce(text, '') AS raw, doc_id % 5 // 4 AS i, doc_id % 61 AS d, doc_id % 3 AS t, CAST(doc_id % 7 * 19997 AS DOUBLE) AS area FROM documents),
+x AS (SELECT *, length(raw) / greatest(area, 1.0) AS density FROM p), y AS (SELECT *, density < 0.03 AND length(regexp_replace(raw, '^\s+|\s+$', '', 'g')) < 400 AND (i >= 1 OR d >= 5) AS sparse FROM x)
+SELECT doc_id, i >= 1 OR d >= 40 OR sparse AS is_complex, concat_ws('; ', CASE WHEN i >= 1 THEN i || ' embedded image(s)' END, CASE WHEN d >= 40 THEN d || ' vector drawing ops' END,
+  CASE WHEN regexp_matches(raw, '(?i)\b(chart|figure|exhibit|graph|fig\.)\b') THEN 'chart/figure keyword present' END, CASE WHEN sparse THEN 'low text density (' || printf('%.4f', density) || ') alongside visual content' END,
+  CASE WHEN t >= 1 THEN t || ' table(s) detected' END) AS reason FROM y""")
 def page_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size")
-    out = pages.complexity(F.col("p_name"), F.when(size % 5 == 0, 1).otherwise(0), size, F.lit(500.0), size % 7 == 0, size % 3)
-    return load(spark, sf_dir, "part").select("p_partkey", out.alias("c")).select("p_partkey", "c.*")
+    d, n = load(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id")
+    out = pages.complexity(F.col("text"), F.floor(n % 5 / 4), n % 61, (n % 7 * 19997).cast("double"), n % 3)
+    return d.select("doc_id", out.alias("c")).select("doc_id", "c.*")
 
 
 @query("SELECT event_id, CASE WHEN value > 50 THEN 0.6 WHEN value > 20 THEN 0.4 ELSE value / 20 END AS confidence, event_type <> 'click' AND CASE WHEN value > 50 THEN 0.6 WHEN value > 20 THEN 0.4 ELSE value / 20 END >= 0.35 AS accepted, coalesce(nullif(concat_ws(chr(10), nullif(event_type, 'view'), nullif(props, '')), ''), 'Chart') AS summary FROM events")
@@ -430,3 +449,66 @@ def chart_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     confidence = pages.chart_confidence(F.col("value") > 50, F.col("value") > 20, F.col("value") / 20)
     kind = F.when(F.col("event_type") != "view", F.col("event_type"))
     return load(spark, sf_dir, "events").select("event_id", confidence.alias("confidence"), pages.chart_accepted(F.col("event_type") != "click", confidence).alias("accepted"), pages.chart_summary(kind, F.col("props"), F.lit(None).cast("string")).alias("summary"))
+
+
+@query("""WITH n AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_orderkey AS a, l_partkey AS b, l_shipdate AS made FROM lineitem ORDER BY made DESC, id LIMIT 2000),
+f AS (SELECT o_custkey % 25 AS query_id, o_orderkey AS id FROM orders), h AS (SELECT DISTINCT query_id, n.id FROM n JOIN f ON f.id IN (n.a, n.b))
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY made DESC, id) AS INTEGER) AS rank FROM h JOIN n USING (id) QUALIFY rank <= 5""")
+def relationships_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 25).alias("query_id"), F.col("o_orderkey").alias("id"))
+    return catalog.touching_each(links_from_lines(spark, sf_dir), facts).select("query_id", "id", "rank")
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS document_id, o_orderpriority AS issue_type FROM orders WHERE o_custkey % 2 = 0 ORDER BY o_orderdate DESC, id LIMIT 200")
+def issues_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = load(spark, sf_dir, "orders")
+    issues = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("issue_type"), F.col("o_orderdate").alias("created_at"))
+    return catalog.list_issues(issues.where("document_id % 2 = 0")).select("id", "document_id", "issue_type")
+
+
+def pages_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = load(spark, sf_dir, "documents")
+    table = F.when(F.col("source").isNotNull(), F.array(F.concat("source", F.lit(" | "), "lang"))).otherwise(F.array().cast("array<string>"))
+    return d.select(F.col("doc_id").alias("id"), F.concat(F.lit("d"), (F.col("doc_id") % 50).cast("string")).alias("document_id"), F.col("doc_id").alias("pdf_page_number"), F.col("text").alias("raw_text"), table.alias("tables"))
+
+
+@query("""WITH p AS (SELECT doc_id, 'd' || (doc_id % 50) AS document_id, 'text' AS evidence_type, text, CAST(0.9 AS DOUBLE) AS c FROM documents
+  UNION ALL SELECT doc_id, 'd' || (doc_id % 50), 'table', source || ' | ' || lang, CAST(0.85 AS DOUBLE) FROM documents WHERE source IS NOT NULL)
+SELECT 'ev_' || substr(sha256(document_id || '||' || doc_id || '||' || evidence_type || '||0||' || substr(text, 1, 80)), 1, 24) AS id, document_id, doc_id AS page_id, evidence_type, c AS extraction_confidence
+FROM p WHERE regexp_matches(coalesce(text, ''), '[^ \\t-\\r]')""")
+def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ingest import evidence_of
+
+    return evidence_of(pages_from_documents(spark, sf_dir)).select("id", "document_id", "page_id", "evidence_type", "extraction_confidence")
+
+
+def pages_from_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each customer with one sentence that holds a fact."""
+    c = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    key = F.col("c_custkey")
+    sentence = F.concat("n_name", F.lit(" revenue was "), (key % 900 + 1).cast("string"), F.lit(" crore in FY"), (key % 20 + 10).cast("string"), F.lit("."))
+    return c.select(key.cast("string").alias("id"), F.concat(F.lit("c"), key.cast("string")).alias("document_id"), F.lit(1).alias("pdf_page_number"), sentence.alias("raw_text"), F.array().cast("array<string>").alias("tables"))
+
+
+@query("""SELECT 'c' || c_custkey AS document_id, split_part(n_name, ' ', 1) AS subject, trim(substr(n_name, length(split_part(n_name, ' ', 1)) + 1) || ' revenue') AS predicate, CAST(c_custkey % 900 + 1 AS DOUBLE) AS numeric_value,
+  (c_custkey % 900 + 1) * 1e7 AS normalized_value, 'count' AS normalized_unit, (2009 + c_custkey % 20) || '-04-01' AS period_start, (2010 + c_custkey % 20) || '-03-31' AS period_end, true AS quote_found
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def ingest_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to evidence to normalised facts, by the default extractor."""
+    from .ingest import evidence_of, facts_of
+
+    rows = pages_from_customers(spark, sf_dir)
+    return facts_of(rows, evidence_of(rows)).select("document_id", "subject", "predicate", "numeric_value", "normalized_value", "normalized_unit", "period_start", "period_end", "quote_found")
+
+
+@query()
+def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieved context of questions about parts: facts by name, evidence by type, relationships of line items; tested against a plain version."""
+    from .answer import answer
+
+    part = load(spark, sf_dir, "part")
+    facts = part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("retrieval_text"), F.col("p_brand").alias("document_filename"))
+    evidence = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_type", "p_name").alias("text"), F.col("p_brand").alias("document_filename"), F.col("p_size").alias("pdf_page_number"))
+    questions = load(spark, sf_dir, "supplier").join(part, F.col("s_suppkey") == F.col("p_partkey")).select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("What of "), "p_name").alias("question"))
+    links = links_from_lines(spark, sf_dir).withColumn("reason", F.col("relationship_type"))
+    return answer(questions, facts, evidence, links)["context"]

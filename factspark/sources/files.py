@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ids import document_id, page_id
-from ..functions.pages import file_title, may_hold_table, meaningful_table, printed_label, serialize_table
+from ..functions.pages import complexity, file_title, may_hold_table, meaningful_table, printed_label, serialize_table
 
 #: content bytes -> a page each: text, width, height, images, drawings, tables (rows of cells)
 Parser = Callable[[bytes], list[dict]]
@@ -47,6 +47,8 @@ def parse_pages(documents: DataFrame, parser: Parser = text_parser) -> tuple[Dat
     tables = F.when(may_hold_table(F.col("raw_text")), F.filter("tables", meaningful_table)).otherwise(F.array().cast("array<array<array<string>>>"))
     good = parsed.where("pdf_page_number > 0")
     pages = good.select(page_id(F.col("document_id"), F.col("pdf_page_number")).alias("id"), "document_id", "pdf_page_number", printed_label(F.col("raw_text")).alias("printed_page_label"), "raw_text", "width", "height", "images", "drawings", F.transform(tables, serialize_table).alias("tables"))
+    score = complexity(F.col("raw_text"), F.col("images"), F.col("drawings"), F.col("width") * F.col("height"), F.size("tables"))
+    pages = pages.withColumn("c", score).select("*", F.col("c.is_complex").alias("is_complex"), F.col("c.reason").alias("complexity_reason")).drop("c")
     issues = parsed.where("pdf_page_number = 0").select("document_id", F.lit("page_processing_error").alias("issue_type"), F.col("raw_text").alias("description"))
     return pages, issues
 

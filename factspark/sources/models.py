@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.normalize import let
 from ..functions.text import extractable, prompt_text
+from ..operators.merge import last_wins
 from ..schemas import EXTRACTED_FACT, EXTRACTION
 
 # Which replies may be tried again, how long to wait, how the budget is shared.
@@ -62,16 +64,29 @@ def hashed_encoder(dim: int = 64) -> Callable[[Column], Column]:
 
     def encode(text: Column) -> Column:
         slots = F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != ""), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0).cast("float"))
+
+        def unit(x: Column) -> Column:
+            norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
+            return let(norm, lambda n: F.transform(x, lambda v: F.when(n > 0, v / n).otherwise(0.0).cast("float")))
+
+        return let(slots, lambda s: let(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(s) - F.size(F.array_remove(s, i.cast("long")))).cast("double")), unit))
 
     return encode
 
 
-def clean_metadata(meta: Column) -> Column:
-    """Without null values."""
-    return F.map_filter(meta, lambda _, v: v.isNotNull())
+def clean_metadata(**fields: Column) -> Column:
+    """A map of the fields as strings, without those that are null."""
+    pairs = F.array(*(F.struct(F.lit(name).alias("key"), value.cast("string").alias("value")) for name, value in fields.items()))
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+
+def upsert_vectors(stored: DataFrame, rows: DataFrame, encoder: Callable[[Column], Column] | None = None, **fields: Column) -> DataFrame:
+    """The vector table (id, text, embedding, metadata) with rows (id, text, and the columns that fields use) added, or in place of those with
+    their ids; of rows with one id the greatest text stays."""
+    encode = encoder or hashed_encoder()
+    metadata = clean_metadata(**fields) if fields else F.create_map().cast("map<string,string>")
+    new = rows.select("id", "text", encode(F.col("text")).alias("embedding"), metadata.alias("metadata"))
+    return last_wins(stored, new, ["id"], "text")
 
 
 class TokenBucket:
@@ -125,5 +140,40 @@ def call(models: list[Callable[[str], str]], prompt: str, attempts: int = 4, sle
     raise Unavailable("no model answered") from last
 
 
+def complete_json(models: list[Callable[[str], str]], prompt: str, parse: Callable[[str], dict], **options) -> dict:
+    """The object that parse makes of a model's reply; if it refuses the reply (ValueError), the model is asked once more, and told why."""
+    reply = call(models, prompt, **options)
+    try:
+        return parse(reply)
+    except ValueError as error:
+        again = f"{prompt}\n\nYour reply was:\n{reply}\n\nIt can't be used ({error}). Reply with the corrected JSON object alone."
+        return parse(call(models, again, **options))
+
+
+class Keys:
+    """Keys of one provider, taken in turn; a key that was told to wait is passed over until then."""
+
+    def __init__(self, keys: list[str], now: Callable[[], float] = time.monotonic):
+        self.keys, self.next, self.now = list(keys), 0, now
+        self.until = dict.fromkeys(keys, 0.0)
+
+    def take(self) -> str:
+        for _ in self.keys:
+            key = self.keys[self.next % len(self.keys)]
+            self.next += 1
+            if self.until[key] <= self.now():
+                return key
+        raise Unavailable("all keys wait")
+
+    def wait(self, key: str, seconds: float) -> None:
+        self.until[key] = self.now() + seconds
+
+
+def read_chart(readers: list[Callable[[bytes, str], dict]], image: bytes, page_text: str | None) -> dict:
+    """What the first reader that is available finds on a page's image; it is given the first 1500 signs of the page's own text beside it."""
+    context = (page_text or "").strip()[:1500]
+    return call([lambda _, reader=reader: reader(image, context) for reader in readers], context)
+
+
 def cache_key(prompt: str) -> str:
     return hashlib.sha256(prompt.encode()).hexdigest()

@@ -11,6 +11,9 @@ from ..functions.ids import document_id, page_id
 def stream_pages(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str):
     """Starts a run over the files in source now (url, html) and appends pages with unknown ids to target; returns the query.
 
+    Writing a batch is not atomic: one that dies half-way leaves some of its rows, which its replay takes as known. That is right only because ids are
+    hashes of the content, so a row is the same whenever it is written.
+
     A page's partition is the first two signs of its id's hash, so a batch is compared with the partitions it touches only."""
     pages = spark.readStream.schema(schema).parquet(source)
 

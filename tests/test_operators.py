@@ -4,8 +4,11 @@ import random
 
 from pyspark.sql import functions as F
 
-from factspark.operators import layout, merge, relate, retrieval
-from factspark.sources import models
+from factspark.functions import pages, text
+from factspark.operators import catalog, layout, merge, relate, retrieval
+from factspark.plans import answer, ingest
+from factspark.sources import files, models
+from factspark.streaming.ingest import stream_pages
 
 BASE = dict(subject="Delhivery", predicate="revenue from services", normalized_value=8141.538, normalized_unit="INR crore", period_start="2023-04-01", period_end="2024-03-31", period_label="FY24", scope="consolidated", status="actual")
 SCHEMA = "id string, subject string, predicate string, normalized_value double, normalized_unit string, period_start string, period_end string, period_label string, scope string, status string"
@@ -104,3 +107,161 @@ def test_fail_over():
         raise models.Unavailable
 
     assert models.call([bad, lambda p: p.upper()], "x") == "X"
+
+
+def test_nearest_takes_all_ties(spark):
+    far, near = [9.0, 0.0], [1.0, 0.0]
+    rows = [(400 - i, near if i % 2 else far) for i in range(400)]
+    vectors = spark.createDataFrame([(*r,) for r in rows] + [(500, None)], "id long, embedding array<double>")
+    got = retrieval.nearest(vectors, spark.createDataFrame([(7, [0.0, 0.0])], "query_id long, embedding array<double>"), 5).orderBy("rank").collect()
+    assert [r.id for r in got] == sorted(i for i, v in rows if v == near)[:5] and {r.distance for r in got} == {1.0}
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 11)
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(0, 3)) for _ in range(3)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    got = retrieval.nearest(df, df.withColumnRenamed("id", "query_id"), 4, drop_self=True).collect()
+    for q, v in rows:
+        want = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:4]
+        assert sorted((r.distance, r.id) for r in got if r.query_id == q) == want
+    assert retrieval.nearest(df.limit(0), df.withColumnRenamed("id", "query_id")).count() == 0
+
+
+def test_page_complexity(spark):
+    long = "word " * 100
+    cases = {
+        ("", 0, 0): (False, ""), ("text", 0, 4): (False, ""), ("text", 0, 5): (True, "low text density (0.0000) alongside visual content"), (long, 1, 0): (True, "1 embedded image(s)"), (long, 0, 40): (True, "40 vector drawing ops"),
+        (long + "see Figure 3", 0, 0): (False, "chart/figure keyword present"), (long + "chartered prefigure", 0, 0): (False, ""), (None, 2, 41): (True, "2 embedded image(s); 41 vector drawing ops; low text density (0.0000) alongside visual content"),
+    }
+    df = spark.createDataFrame([(t, i, d) for t, i, d in cases], "t string, i int, d int")
+    for r in df.select("*", pages.complexity(F.col("t"), F.col("i"), F.col("d"), F.lit(484704.0)).alias("c")).collect():
+        assert (r.c.is_complex, r.c.reason) == cases[r.t, r.i, r.d]
+
+
+def test_documents_newest_first_and_issues(spark):
+    documents = spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "id string, created_at int")
+    facts = spark.createDataFrame([("f", "a"), ("g", "a")], "id string, document_id string")
+    links = spark.createDataFrame([("f", "g"), ("f", "x")], "fact_a_id string, fact_b_id string")
+    jobs = spark.createDataFrame([("j", "a", "done", 1), ("k", "a", "queued", 2)], "id string, document_id string, status string, created_at int")
+    got = catalog.list_documents(documents, facts, links, jobs).collect()
+    assert [r.id for r in got] == ["b", "c", "a"] and (got[2].fact_count, got[2].relationship_count, got[2].latest_job_status) == (2, 2, "queued") and got[0].fact_count == 0
+    assert [r.id for r in catalog.list_issues(documents.withColumn("document_id", F.col("id")), limit=2).collect()] == ["b", "c"]
+
+
+def test_answer_is_per_question(spark):
+    names = ["red apple", "green pear", "red plum", "blue stone"]
+    facts = spark.createDataFrame([(f"{p}{i}", f"{n} {p}", "file") for p in "ab" for i, n in enumerate(names)], "id string, retrieval_text string, document_filename string")
+    evidence = spark.createDataFrame([("e1", "a red apple grew", "file", 3)], "id string, text string, document_filename string, pdf_page_number int")
+    links = spark.createDataFrame([(f"r{i}", f"a{i}", f"a{(i + 1) % 4}", "CORROBORATES", f"of a{i}", i) for i in range(4)] + [("s", "b0", "b1", "CONTRADICTS", "of b", 9)], "id string, fact_a_id string, fact_b_id string, relationship_type string, reason string, created_at int")
+    questions = spark.createDataFrame([(1, "apple a"), (2, "stone b"), (3, "?")], "query_id long, question string")
+
+    def encoder(column):
+        return F.when(F.contains(column, F.lit("?")), F.lit(None)).otherwise(models.hashed_encoder()(column))
+
+    got = answer.answer(questions, facts, evidence, links, encoder)
+    tops = {}
+    for r in got["facts"].collect():
+        tops.setdefault(r.query_id, set()).add(r.id)
+    for r in got["relationships"].collect():
+        assert tops[r.query_id] & {r.fact_a_id, r.fact_b_id}
+    context = {r.query_id: r for r in got["context"].collect()}
+    assert set(context) == {1, 2, 3} and context[3].context == text.NO_CONTEXT and context[3].n_facts == 0
+    first = context[1].context.split("\n")
+    assert first[0].startswith("FACT: ") and sum(x.startswith("RELATIONSHIP: ") for x in first) <= 5 and any(x == "EVIDENCE [file p.3]: a red apple grew" for x in first)
+    replies = spark.createDataFrame([(1, "it is red")], "query_id long, answer string")
+    answers = {r.query_id: r.answer for r in answer.answer(questions, facts, evidence, links, encoder, replies=replies)["answers"].collect()}
+    assert answers == {1: "it is red", 2: None, 3: text.NO_ANSWER}
+
+
+def test_pairs_that_a_classifier_leaves_open_stay_open(spark):
+    facts = spark.createDataFrame([{**BASE, "id": "a"}, {**BASE, "id": "b", "period_label": "FY25", "period_start": "2024-04-01"}, {**BASE, "id": "c", "period_label": "FY26", "period_start": "2025-04-01"}], SCHEMA)
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "a_id string, b_id string")
+    texts = spark.createDataFrame([("a", "x" * 900), ("b", "quote")], "fact_id string, text string")
+
+    def some(open_):
+        assert {"a_evidence", "b_evidence"} <= set(open_.columns)
+        return open_.withColumn("relationship_type", F.when(F.length("a_evidence") == 500, "CORROBORATES")).withColumn("confidence", F.lit(0.9))
+
+    edges, left = relate.relate(pairs, facts, classifier=some, evidence=texts)
+    assert [(r.fact_a_id, r.method) for r in edges.collect()] == [("a", "model")] and [(r.a_id, r.b_id) for r in left.collect()] == [("b", "c")]
+    known = edges.select("fact_a_id", "fact_b_id")
+    assert relate.relate(pairs, facts, known=known, classifier=some, evidence=texts)[0].count() == 0
+
+
+def test_ingest_from_files_to_relationships(spark, tmp_path):
+    one = "Acme revenue was 120 crore in FY24. See Figure 1.\f\n12\nAcme profit was 7 crore in FY24."
+    (tmp_path / "up").mkdir()
+    for name, content in {"a_report.txt": one, "copy.txt": one, "b.txt": "Acme revenue was 120.5 crore in FY24. This page is here.", "x.bin": "no"}.items():
+        (tmp_path / "up" / name).write_text(content)
+    documents = files.read_uploads(spark, str(tmp_path / "up"), ".txt")
+    assert documents.count() == 2  # equal contents are one document
+    rows, issues = files.parse_pages(documents)
+    assert rows.count() == 3 and issues.count() == 0 and {r.printed_page_label for r in rows.collect()} == {None, "12"}
+    assert {r.complexity_reason for r in rows.collect()} == {"", "chart/figure keyword present"}
+    assert sorted(r.page_count for r in files.page_counts(documents).collect()) == [1, 2]
+    evidence = ingest.evidence_of(rows)
+    facts = ingest.facts_of(rows, evidence).cache()
+    assert {(r.subject, r.predicate, r.normalized_value, r.period_start) for r in facts.collect()} == {("Acme", "revenue", 1.2e9, "2023-04-01"), ("Acme", "profit", 7e7, "2023-04-01"), ("Acme", "revenue", 1.205e9, "2023-04-01")}
+    assert all(r.quote_found and len(r.evidence_ids) == 1 for r in facts.collect())
+    edges, _ = ingest.relationships_of(facts, facts)
+    assert [(r.relationship_type, r.method) for r in edges.collect()] == [("CORROBORATES", "rule")]
+
+    def broken(_):
+        raise ValueError("not a page")
+
+    bad, errors = files.parse_pages(documents, broken)
+    assert bad.count() == 0 and {r.description for r in errors.collect()} == {"ValueError: not a page"}
+
+
+def test_streamed_pages_survive_a_replay(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("u", "<p>1</p>"), ("v", "<p>1</p>"), ("w", None)], "url string, html string").write.parquet(source)
+    stream_pages(spark, source, "url string, html string", target, str(tmp_path / "c1")).awaitTermination()
+    assert spark.read.parquet(target).count() == 2
+    stream_pages(spark, source, "url string, html string", target, str(tmp_path / "c2")).awaitTermination()  # all batches again
+    assert spark.read.parquet(target).count() == 2
+
+
+def test_vectors_are_put_in_place(spark):
+    old = models.upsert_vectors(spark.createDataFrame([], "id string, text string, embedding array<float>, metadata map<string,string>"), spark.createDataFrame([("a", "one", 1), ("b", "two", None)], "id string, text string, n int"), n=F.col("n"))
+    assert {r.id: r.metadata for r in old.collect()} == {"a": {"n": "1"}, "b": {}}
+    new = models.upsert_vectors(old, spark.createDataFrame([("b", "three", [1, 2]), ("c", "", None)], "id string, text string, n array<int>"), n=F.col("n"))
+    assert {r.id: (r.text, r.metadata) for r in new.collect()} == {"a": ("one", {"n": "1"}), "b": ("three", {"n": "[1, 2]"}), "c": ("", {})}
+
+
+def test_json_is_asked_for_once_more():
+    import json
+
+    asked = []
+
+    def model(prompt):
+        asked.append(prompt)
+        return '{"a": 1}' if len(asked) > 1 else "sorry"
+
+    assert models.complete_json([model], "q", json.loads) == {"a": 1} and len(asked) == 2 and "sorry" in asked[1]
+    asked[:] = []
+    try:
+        models.complete_json([lambda p: "never"], "q", json.loads)
+        raise AssertionError
+    except ValueError:
+        pass
+
+
+def test_keys_take_turns():
+    t = [0.0]
+    keys = models.Keys(["a", "b", "c"], now=lambda: t[0])
+    assert [keys.take() for _ in range(4)] == ["a", "b", "c", "a"]
+    keys.wait("b", 10)
+    assert [keys.take() for _ in range(3)] == ["c", "a", "c"]
+    t[0] = 11.0
+    assert keys.take() == "a" and keys.take() == "b"
+
+
+def test_charts_are_read_by_the_first_that_can():
+    def down(image, context):
+        raise models.Unavailable
+
+    assert models.read_chart([down, lambda image, context: {"n": len(image), "c": context}], b"png", " page ") == {"n": 3, "c": "page"}
