@@ -15,6 +15,8 @@ from ..functions.text import NO_CONTEXT, index_terms, query_terms, term_count
 K1, B, LEAST_WEIGHT, RRF_K = 1.2, 0.75, 1e-6, 60
 #: Rows of queries and of vectors that one task compares.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 16384
+#: Terms of all questions, some 50 bytes each, up to which they are broadcast.
+ASKED_TERMS = 200_000
 FAN_IN, FUSED_FACTS, FUSED_EVIDENCE, TOP_FACTS, TOP_EVIDENCE = 20, 15, 10, 6, 5
 
 
@@ -22,16 +24,21 @@ def bm25(texts: DataFrame, questions: DataFrame, k: int | None = FAN_IN, id_col:
     """query_id, id, score (lower is better), rank from 1, for questions (query_id, question); all matches if k is None.
 
     Only postings of asked terms are kept, and they are made once for weights and scores; the corpus's size and mean length come from
-    counting terms without building them. The question table is broadcast if Spark finds it small."""
+    counting terms without building them. The terms of the questions are broadcast if there are ASKED_TERMS at most."""
     asked = questions.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(query_terms(F.col("question")), index_terms)))).alias("term"))
     tokens = texts.select(F.col(id_col).alias("id"), index_terms(F.col(text_col)).alias("tokens"))
     corpus = texts.select(term_count(F.col(text_col)).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    postings = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    hits = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    # by id, so that a text's score needs no further exchange, however many questions it meets
+    postings = hits.repartition("id").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
     df = postings.groupBy("term").agg(F.count("tf").alias("df"))  # counted by tf, so both uses of postings are one exchange
     weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(corpus)).select("term", "mean", F.when(weight <= 0, LEAST_WEIGHT).otherwise(weight).alias("weight"))  # corpus is one row
     part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = postings.join(weights, "term").join(asked, "term").groupBy("query_id", "id").agg((-F.sum(part)).alias("score"))
+    wanted = asked.join(weights, "term")
+    if asked.count() <= ASKED_TERMS:  # postings then stay with their text
+        wanted = F.broadcast(wanted)
+    scored = postings.join(wanted, "term").groupBy("query_id", "id").agg((-F.sum(part)).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 6)), "score", "id", k)
 
 
