@@ -61,6 +61,21 @@ def miss_chance(similarity: float, depth: int, runs: int) -> float:
     return sum(p * (1 - meeting_chance(k / T, depth)) ** runs for k, p in enumerate(agree))
 
 
+#: The same rows by comparing all pairs that share a shingle; links lead from class to class until no lesser one is reached.
+ORACLE = r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM t),
+c AS (SELECT row_number() OVER (ORDER BY min(doc_id), g) AS k, g, min(doc_id) AS least, count(*) AS n_copies FROM s WHERE len(g) > 0 GROUP BY g),
+e AS (SELECT k, len(g) AS n, unnest(g) AS x FROM c),
+p AS (SELECT a.k AS a, b.k AS b FROM e a JOIN e b ON a.x = b.x AND a.k < b.k AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.k, b.k, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n)),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT k, k AS root FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.k WHERE r.root < l.b),
+u AS (SELECT k, min(root) AS root FROM r GROUP BY 1), n AS (SELECT a AS k, count(*) AS n_links FROM l GROUP BY 1),
+m AS (SELECT g, least, n_copies, coalesce(n_links, 0) AS n_links, min(least) OVER (PARTITION BY root) AS class_id FROM c JOIN u USING (k) LEFT JOIN n USING (k))
+SELECT doc_id, coalesce(least, doc_id) AS text_class, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies
+FROM s LEFT JOIN m ON s.g = m.g"""
+
 RUNS = next(n for n in itertools.count(1) if miss_chance(THRESHOLD, DEEPEST, n) <= 1 - RECALL)
 
 

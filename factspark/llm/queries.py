@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, substring, warc
+from . import decontaminate, jaccard, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,4 +84,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_output, op3_decontamination, op4_substring_dedup, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_nearest_neighbours, op9_warc, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op4_substring_dedup": substring.ORACLE, "op9_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op4_substring_dedup": substring.ORACLE, "op9_warc": warc.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
