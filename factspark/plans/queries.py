@@ -412,7 +412,14 @@ def spatial_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.clusters(rows).select("page_id", "row", "cluster")
 
 
-@query()
+@query("""WITH RECURSIVE w AS (SELECT p, x, y, t, row_number() OVER (PARTITION BY p ORDER BY y, x, t) AS n
+  FROM (SELECT l_orderkey AS p, CAST(l_suppkey % 50 * 10 AS DOUBLE) AS x, CAST(l_partkey % 30 * 2 AS DOUBLE) AS y, 'w' || l_partkey AS t FROM lineitem)),
+r AS (SELECT *, y AS anchor, 0 AS row FROM w WHERE n = 1 UNION ALL
+  SELECT w.*, CASE WHEN w.y - anchor <= 3 THEN anchor ELSE w.y END, CASE WHEN w.y - anchor <= 3 THEN row ELSE row + 1 END FROM r JOIN w ON w.p = r.p AND w.n = r.n + 1),
+g AS (SELECT p, row, min(y) AS top, max(y + 10) AS bottom, string_agg(t, ' ' ORDER BY x, y, t) AS line FROM r GROUP BY 1, 2),
+c AS (SELECT *, CASE WHEN top - lag(bottom) OVER (PARTITION BY p ORDER BY row) > 14 THEN 1 ELSE 0 END AS new FROM g),
+d AS (SELECT *, sum(new) OVER (PARTITION BY p ORDER BY row) AS cluster FROM c), b AS (SELECT p, cluster, string_agg(line, chr(10) ORDER BY row) AS block FROM d GROUP BY 1, 2)
+SELECT p AS page_id, string_agg(block, chr(10) || chr(10) ORDER BY cluster) AS text FROM b GROUP BY 1""")
 def spatial_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, clusters and clustered text of words laid out from line items."""
     line = load(spark, sf_dir, "lineitem")
