@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -268,6 +269,22 @@ def test_jaccard_join_against_all_pairs(spark, folder):
     assert found == want and sum(x[2] for x in want) > 100
 
 
+def test_jaccard_sql_gives_the_same_rows(spark, folder):
+    rng = random.Random(41)
+    base = [prose(rng, 60).split() for _ in range(6)]
+    rows = [*((r[0], r[1]) for r in nasty()), (900, "two words"), (901, "two  words"), (902, " \t"), (903, None), (None, " ".join(base[0]))]
+    for i in range(60):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = "changed"
+        rows.append((1000 + i, " ".join(w)))
+    documents = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
+    want = duckdb.connect().register("documents", documents).execute(jaccard.ORACLE).fetchall()
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select("doc_id", "text_class", "class_id", "n_links", "n_copies").collect())
+    assert sum(r[3] > 0 for r in want) > 20
+
+
 def test_null_ids_keep_their_links(spark, folder):
     rng = random.Random(41)
     base = prose(rng, 80).split()
