@@ -244,10 +244,12 @@ def failed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.failed_pages(*issues_and_evidence(spark, sf_dir))
 
 
-@query(SQL_ISSUES + " SELECT id, document_id, evidence_id, issue_type FROM i WHERE NOT (issue_type = 'fact_extraction_error' AND evidence_id IN (SELECT id FROM e WHERE page_id < 1000))")
+@query(SQL_ISSUES + " SELECT id, document_id, evidence_id, issue_type FROM i WHERE NOT (issue_type = 'fact_extraction_error' AND evidence_id IN (SELECT id FROM e WHERE page_id IN (SELECT page_id FROM e JOIN i USING (id) GROUP BY page_id HAVING arg_max(issue_type, id) = 'fact_extraction_error')))")
 def clear_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose newest event is an error are retried."""
     issues, evidence = issues_and_evidence(spark, sf_dir)
-    return catalog.clear_errors(issues, evidence, evidence.where("page_id < 1000").select("page_id").distinct())
+    newest = evidence.join(issues.select("id", "issue_type"), "id").where("page_id is not null").groupBy("page_id").agg(F.max_by("issue_type", "id").alias("newest"))
+    return catalog.clear_errors(issues, evidence, newest.where(F.col("newest") == catalog.FACT_ERROR).select("page_id"))
 
 
 def jobs_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,6 +373,16 @@ def relate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("fact_a_id", "fact_b_id", "relationship_type", "confidence", "context_dimension")
 
 
+@query("SELECT * FROM (" + SQL_RULES + ") WHERE relationship_type <> 'CORROBORATES'")
+def relate_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a second pass finds where the corroborations of the first are known already, the other way round."""
+    facts, pairs = copies(spark, sf_dir)
+    first, _ = relate.relate(pairs, facts)
+    known = first.where("relationship_type = 'CORROBORATES'").select(F.col("fact_b_id").alias("fact_a_id"), F.col("fact_a_id").alias("fact_b_id"))
+    edges, _ = relate.relate(pairs, facts, known)
+    return edges.select("fact_a_id", "fact_b_id", "relationship_type", "confidence", "context_dimension")
+
+
 @query()
 def relate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plausible pairs among each part's name and the next part's."""
@@ -466,11 +478,26 @@ def relationships_per_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.touching_each(links_from_lines(spark, sf_dir), facts).select("query_id", "id", "rank")
 
 
-@query("SELECT o_orderkey AS id, o_custkey AS document_id, o_orderpriority AS issue_type FROM orders WHERE o_custkey % 2 = 0 ORDER BY o_orderdate DESC, id LIMIT 200")
+@query("SELECT o_orderkey AS id, o_custkey AS document_id, o_orderpriority AS issue_type FROM orders ORDER BY o_orderdate DESC, id LIMIT 200")
 def issues_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders")
     issues = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("document_id"), F.col("o_orderpriority").alias("issue_type"), F.col("o_orderdate").alias("created_at"))
-    return catalog.list_issues(issues.where("document_id % 2 = 0")).select("id", "document_id", "issue_type")
+    return catalog.list_issues(issues).select("id", "document_id", "issue_type")
+
+
+@query("SELECT event_id, user_id FROM events ANTI JOIN supplier ON user_id = s_suppkey WHERE user_id IS NOT NULL")
+def orphan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose user is no supplier."""
+    return catalog.missing_parents(load(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", load(spark, sf_dir, "supplier"), "s_suppkey")
+
+
+@query("SELECT * FROM (SELECT doc_id, unnest(['doc_id', 'lang', 'n_chars', 'source']) AS key, unnest([CAST(doc_id AS VARCHAR), lang, CAST(n_chars AS VARCHAR), source]) AS value FROM documents) WHERE value IS NOT NULL")
+def vector_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's metadata as its vector carries them: strings, without nulls."""
+    from ..sources.models import clean_metadata
+
+    docs = load(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(clean_metadata(**{c: F.col(c) for c in ("doc_id", "lang", "n_chars", "source")})))
 
 
 def pages_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
