@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text bytes that a kernel works on at once; a longer document is taken alone.
@@ -68,6 +69,18 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key is frequent if it holds more than this share of the rows that are joined by it; so there are at most 1000 such keys.
+FREQUENT = 0.001
+
+
+def join_frequent_apart(left: DataFrame, right: DataFrame, keys: list[str], frequent: DataFrame) -> DataFrame:
+    """Inner join of left with right, which has a row for each key. frequent: right's rows whose keys are frequent in left (see FREQUENT, which
+    bounds them); only those are broadcast, so that no exchange sends a frequent key's rows to one task."""
+    apart = left.join(F.broadcast(frequent), keys)
+    rest = left.join(F.broadcast(frequent.select(*keys)), keys, "left_anti")
+    return apart.unionByName(rest.join(right, keys))
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a URI, for use in executors."""
     if uri.startswith("file:"):
@@ -130,6 +143,18 @@ def tidied_group(kernel):
     return run
 
 
+def tidied_pair(kernel):
+    """The same for the kernel of a cogrouped applyInArrow."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return kernel(left, right)
+        finally:
+            give_back()
+
+    return run
+
+
 def give_back() -> None:
     """Returns freed memory to the system, as far as the C library can."""
     pa.default_memory_pool().release_unused()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import decontaminate, jaccard, substring, warc
+from . import decontaminate, jaccard, neardup, resample, substring, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,5 +83,22 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"), C.work_dir(spark, "jaccard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_output, op3_decontamination, op4_substring_dedup, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_nearest_neighbours, op9_warc, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op4_substring_dedup": substring.ORACLE, "op9_warc": warc.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .align import align
+
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return align(table(spark, sf_dir, "documents"), *files, C.work_dir(spark, "alignment"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(table(spark, sf_dir, "embeddings"), C.work_dir(spark, "graph"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), C.work_dir(spark, "resampling"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality, op2_token_output, op3_decontamination, op4_substring_dedup, op5_html_extraction, op6_language_id, op7_sentencepiece, op8_nearest_neighbours, op9_warc, op10_jaccard_join, op11_alignment, op12_embedding_dedup, op13_resampling)}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": decontaminate.ORACLE, "op4_substring_dedup": substring.ORACLE, "op9_warc": warc.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "op12_embedding_dedup": neardup.ORACLE, "op13_resampling": resample.ORACLE}
