@@ -197,6 +197,12 @@ def lists(values: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values, kind))
 
 
+def spread(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(list, place) of all elements of lists that begin so and are so long."""
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
 def blobs(values: np.ndarray, first: np.ndarray) -> pa.Array:
     """A binary array; value i has the bytes of values[first[i]:first[i + 1]]."""
     data = np.ascontiguousarray(values)

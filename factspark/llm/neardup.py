@@ -36,7 +36,9 @@ from .graph import components
 
 THRESHOLD = 0.95
 #: Nodes at home in a shard, shards of a node, edges of a node in a shard, candidates of a node (nearest, random).
-SHARD_ROWS, OVERLAP, DEGREE, POOL, ALPHA = 2048, 2, 24, (40, 24), 1.2
+SHARD_ROWS, OVERLAP, DEGREE, POOL, ALPHA = 4096, 2, 24, (40, 24), 1.2
+#: Each node's so many nearest kept edges always lead back to it, so that no member of a crowd is left without a way in.
+WAYS_BACK = 4
 #: Open nodes that a walk keeps, how far below the threshold the range is opened, queries that one task searches together.
 BEAM, SLACK, QUERY_ROWS, LOCKSTEP = 24, 0.1, 16384, 256
 #: Centres are learned on so many rows for each, and on SAMPLE at most; so there are SAMPLE / PER_CENTRE centres at most.
@@ -113,8 +115,8 @@ def robust_prune(x: np.ndarray, node: np.ndarray, pool: np.ndarray, degree: int,
     return out
 
 
-def build(x: np.ndarray, seed: int, degree: int = DEGREE, pool: tuple[int, int] = POOL) -> np.ndarray:
-    """Edges of each row of unit vectors x, -1 behind them."""
+def build(x: np.ndarray, seed: int, degree: int = DEGREE, pool: tuple[int, int] = POOL) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the graph over unit vectors x as (from, to), sorted."""
     n, rng = len(x), np.random.default_rng(seed)
     near = min(pool[0], n - 1)
     first = np.full((n, degree), -1, np.int64)
@@ -140,17 +142,27 @@ def build(x: np.ndarray, seed: int, degree: int = DEGREE, pool: tuple[int, int]
     for at in range(0, n, 512):
         node = np.arange(at, min(n, at + 512))
         out[node] = robust_prune(x, node, wide[node], degree)
-    return out
+    near, kept = first[:, :WAYS_BACK], out >= 0
+    back = near >= 0
+    key = np.unique(np.concatenate([np.nonzero(kept)[0] * n + out[kept], near[back] * n + np.nonzero(back)[0]]))
+    return key // n, key % n
 
 
 class Shard:
-    """The members of a shard with their part of the united graph. Rows: unit vectors; edges[i]: places in the shard, i itself behind them."""
+    """The members of a shard, unit vectors x, with their part of the united graph: edges row-to, sorted by row."""
 
-    def __init__(self, x: np.ndarray, edges: np.ndarray, home: np.ndarray):
-        self.x, self.edges, self.home = x.astype(np.float32), edges, home
+    def __init__(self, x: np.ndarray, row: np.ndarray, to: np.ndarray, home: np.ndarray):
+        self.x, self.to, self.home = x.astype(np.float32), to, home
+        self.begin = np.searchsorted(row, np.arange(len(x)))
+        self.size = np.bincount(row, minlength=len(x))
         middle = x.mean(axis=0)
         self.medoid = int((x @ middle).argmax())
 
+    def next(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index into node, row) of all edges of some rows."""
+        which, place = C.spread(self.begin[node], self.size[node])
+        return which, self.to[place]
+
     def near(self, queries: np.ndarray, own: np.ndarray, reach: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, row) of all rows found whose cosine is reach or more; own: the query's row, or -1."""
         q, n = queries.astype(np.float32), len(self.x)
@@ -176,20 +188,24 @@ class Shard:
             if not len(busy):
                 break
             opened[busy, node] = True
-            new = self.edges[node]
-            fresh = ~seen[busy[:, None], new]
-            i, j = np.nonzero(fresh)
-            asks, to = busy[i], new[i, j]
+            i, to = self.next(node)
+            fresh = ~seen[busy[i], to]
+            i, to = i[fresh], to[fresh]
+            asks = busy[i]
             score[asks, to] = np.einsum("ij,ij->i", q[asks], self.x[to])
             seen[asks, to] = True
-            wide = np.hstack([held[busy], np.where(fresh, new, -1)])
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            wide = np.full((len(busy), beam + int(place.max(initial=-1)) + 1), -1)
+            wide[:, :beam] = held[busy]
+            wide[i, beam + place] = to
             s = np.where(wide >= 0, score[busy[:, None], wide], -3)
             held[busy] = np.take_along_axis(wide, np.argpartition(-s, beam - 1, axis=1)[:, :beam], axis=1)
         # open everything within reach until nothing new comes
         asks, to = np.nonzero((score >= reach) & ~opened)
         while len(asks):
             opened[asks, to] = True
-            key = (asks[:, None] * n + self.edges[to]).reshape(-1)
+            i, to = self.next(to)
+            key = asks[i] * n + to
             key = np.unique(key[~seen.reshape(-1)[key]])
             asks, to = key // n, key % n
             s = np.concatenate([np.einsum("ij,ij->i", q[asks[a : a + 65536]], self.x[to[a : a + 65536]]) for a in range(0, len(asks), 65536)] or [np.zeros(0, np.float32)])
@@ -277,9 +293,8 @@ def graph_of(members: DataFrame, d: int, folder: str, degree: int) -> DataFrame:
         node = t["node"].to_numpy()
         order = np.argsort(node)
         x = unit(matrix(t["v"].combine_chunks(), d)[order]).astype(np.float32)
-        edges = build(x, int(t["cell"][0].as_py()), degree)
-        some = edges >= 0
-        return pa.table([pa.array(node[order]), C.lists(node[order][edges[some]], np.append(0, np.cumsum(some.sum(axis=1))), pa.int64())], ["node", "edges"])
+        row, to = build(x, int(t["cell"][0].as_py()), degree)
+        return pa.table([pa.array(node[order]), C.lists(node[order][to], np.searchsorted(row, np.arange(len(node) + 1)), pa.int64())], ["node", "edges"])
 
     built = members.groupBy("cell", "part").applyInArrow(C.tidied_group(kernel), "node long, edges array<long>")
     united = built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("edges"))).alias("edges"))  # a list for each shard of the node
@@ -314,10 +329,7 @@ def searched(nodes: DataFrame, graph: DataFrame, parts: DataFrame, centres: np.n
         row, to = np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
         place = np.minimum(np.searchsorted(node, to), len(node) - 1)
         row, place = row[node[place] == to], place[node[place] == to]
-        begin = np.searchsorted(row, np.arange(len(node) + 1))
-        edges = np.repeat(np.arange(len(node))[:, None], max(1, int(np.diff(begin).max())), axis=1)
-        edges[row, np.arange(len(row)) - begin[row]] = place
-        shard = Shard(unit(base), edges, home)
+        shard = Shard(unit(base), row, place, home)
         asker, x = asks["node"].to_numpy(), matrix(asks["v"].combine_chunks(), d)
         everyone = np.union1d(asker, node)
         known = np.searchsorted(everyone, node)

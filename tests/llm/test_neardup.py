@@ -100,11 +100,23 @@ def test_rows_go_wherever_a_partner_may_be_at_home():
 def test_pruned_lists_lead_to_every_row():
     rng = np.random.default_rng(9)
     x = neardup.unit(np.vstack([rng.normal(size=(500, 16)), 3 * rng.normal(size=16) + 0.2 * rng.normal(size=(300, 16))])).astype(np.float32)
-    edges = neardup.build(x, 1)
-    assert edges.shape == (800, neardup.DEGREE)
+    row, to = neardup.build(x, 1)
+    assert len(row) <= 800 * (neardup.DEGREE + neardup.WAYS_BACK)
+    edges = {i: to[row == i].tolist() for i in range(800)}
     seen, todo = {0}, [0]
     while todo:
-        new = {int(j) for i in todo for j in edges[i] if j >= 0} - seen
+        new = {j for i in todo for j in edges[i]} - seen
         seen |= new
         todo = list(new)
     assert len(seen) == 800
+
+
+def test_no_member_of_a_crowd_is_missed():
+    rng = np.random.default_rng(12)
+    middle = rng.normal(size=64)
+    x = neardup.unit(np.vstack([rng.normal(size=(1500, 64)), middle + 0.1 * rng.normal(size=(700, 64))]))
+    row, to = neardup.build(x.astype(np.float32), 3)
+    shard = neardup.Shard(x, row, to, np.ones(len(x), bool))
+    asked = np.arange(1500, 1700)
+    i, j = shard.near(x[asked], np.full(200, -1), 0.95, neardup.BEAM)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(k.tolist() for k in np.nonzero(x[asked].astype(np.float32) @ x.T.astype(np.float32) >= 0.95)), strict=True))
