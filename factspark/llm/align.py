@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,18 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class Table:
+    """Byte strings by number, in one array."""
+
+    def __init__(self, values: list[bytes]):
+        self.size = np.array([len(v) for v in values], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(values), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        return self.data[C.spread(self.begin[ids], self.size[ids])[1]]
+
+
 class Pair:
     """Both tokenizers, and the bytes of each id."""
 
@@ -61,7 +74,9 @@ class Pair:
             self.a_bytes[i] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.vocab_size())))]
         self.whole = any(b" " in x.lstrip(b" ") for x in self.b_bytes)
-        self.a_size, self.b_size = (np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes))
+        self.a_table, self.b_table = Table(self.a_bytes), Table(self.b_bytes)
+        # an id in decimal, with room for the sign behind it
+        self.decimal = Table([b"%d " % i for i in range(max(len(self.a_bytes), len(self.b_bytes)))])
 
     def cut(self, texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
         """The parts of all texts, without the space that each begins with, and how many each text has."""
@@ -81,38 +96,49 @@ class Pair:
         parts = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(first.astype(np.int64)), pa.py_buffer(buf[keep]))
         return parts, np.diff(np.searchsorted(start, off))
 
-    def ends(self, ids: list[list[int]], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all parts, how many each part has, end of each token; a part begins where the one before ended)."""
-        n = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
-        return flat, n, np.cumsum(size[flat])
-
-    def groups(self, parts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-        """For each part its groups as text (a1,a2|b1), its numbers of A and B tokens, and whether both give its bytes back."""
-        spaced = [" " + p for p in parts]
-        a_ids = [x.ids for x in self.a.encode_batch(spaced, add_special_tokens=False)]
-        b_ids = self.b.encode(parts, num_threads=1)
-        same = np.array([b"".join(map(self.a_bytes.__getitem__, a)) == b"".join(map(self.b_bytes.__getitem__, b)) == s.encode() for a, b, s in zip(a_ids, b_ids, spaced, strict=True)], bool)
-        for i in np.flatnonzero(~same).tolist():
-            a_ids[i] = b_ids[i] = []
-        (a, a_n, a_end), (b, b_n, b_end) = self.ends(a_ids, self.a_size), self.ends(b_ids, self.b_size)
-        cuts = np.intersect1d(a_end, b_end)
-        a_first = np.append(0, np.searchsorted(a_end, cuts, "right")).tolist()
-        b_first = np.append(0, np.searchsorted(b_end, cuts, "right")).tolist()
-        a_text, b_text = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        flat = [f"{','.join(a_text[a_first[g] : a_first[g + 1]])}|{','.join(b_text[b_first[g] : b_first[g + 1]])}" for g in range(len(cuts))]
+    def encoded(self, parts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """A's and B's ids of all parts, and how many each part has; none where one of them does not give a part's bytes back."""
+        texts = parts.to_pylist()
+        found = [[x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)]
+        n = [np.fromiter(map(len, x), np.int64, len(x)) for x in found]
+        ids = [np.fromiter(itertools.chain.from_iterable(x), np.int64, int(k.sum())) for x, k in zip(found, n, strict=True)]
+        same = np.ones(len(parts), bool)
+        buf, off = C.raw(parts)
+        for flat, k, table in zip(ids, n, (self.a_table, self.b_table), strict=True):
+            owner = np.repeat(np.arange(len(k)), k)
+            size = np.bincount(owner, table.size[flat], minlength=len(k)).astype(np.int64)
+            same &= size == np.diff(off) + 1
+            got = table.joined(flat[same[owner]])
+            part, place = C.spread(np.zeros(len(k), np.int64), np.where(same, size, 0))
+            want = np.where(place > 0, buf[np.maximum(off[part] + place - 1, 0)] if len(buf) else 32, 32)
+            same[part[got != want]] = False
+        return [flat[same[np.repeat(np.arange(len(k)), k)]] for flat, k in zip(ids, n, strict=True)], [np.where(same, k, 0) for k in n]
+
+    def groups(self, parts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """All groups of all parts as texts like a1,a2|b1; how many groups each part has, and its numbers of A and B tokens."""
+        (a, b), (a_n, b_n) = self.encoded(parts)
+        a_end, b_end = np.cumsum(self.a_table.size[a]), np.cumsum(self.b_table.size[b])
+        cuts = a_end[b_end[np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)] == a_end] if len(b_end) else b_end
+        cuts = cuts[np.diff(cuts, prepend=-1) > 0]
+        a_stop, b_stop = np.searchsorted(a_end, cuts, "right"), np.searchsorted(b_end, cuts, "right")
+        # in a group A's tokens stand before B's
+        a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
+        ids, after = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[np.arange(len(a)) + np.append(0, b_stop)[a_group]] = a
+        ids[np.arange(len(b)) + a_stop[b_group]] = b
+        after[a_stop + np.append(0, b_stop)[:-1] - 1] = ord("|")
+        after[a_stop + b_stop - 1] = ord(";")
+        data, end = self.decimal.joined(ids), np.cumsum(self.decimal.size[ids])
+        data[end - 1] = after
+        first = np.append(0, end[a_stop + b_stop - 1])
         last = np.append(0, a_end)[np.cumsum(a_n)]
-        stop = np.searchsorted(cuts, last, "right").tolist()
-        out, at = [], 0
-        for s in stop:
-            out.append(flat[at:s])
-            at = s
-        return out, a_n, b_n, same
+        n_groups = np.diff(np.append(0, np.searchsorted(cuts, last, "right")))
+        return pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(first.astype(np.int64)), pa.py_buffer(data)), n_groups, a_n, b_n
 
     def links(self, group: str) -> list[tuple[int, int, int]]:
-        """(A id, B id, times) of all tokens of a group whose byte ranges end together."""
-        a, b = (list(map(int, side.split(","))) for side in group.split("|"))
-        a_end, b_end = np.cumsum(self.a_size[a]).tolist(), np.cumsum(self.b_size[b]).tolist()
+        """(A id, B id, times) of all tokens of a group (a1,a2|b1;) whose byte ranges end together."""
+        a, b = (list(map(int, side.split(","))) for side in group.rstrip(";").split("|"))
+        a_end, b_end = np.cumsum(self.a_table.size[a]).tolist(), np.cumsum(self.b_table.size[b]).tolist()
         at: dict[int, list[int]] = {}
         for i, e in zip(a, a_end, strict=True):
             at.setdefault(e, []).append(i)
@@ -133,37 +159,34 @@ DOCUMENT = "batch long, doc_id long, n_a long, n_b long, n_groups long, groups_s
 
 def aligned_batch(p: Pair, number: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     """A row for each text, with which of the batch's groups it holds how often; and a last row with those groups and their frequencies."""
+    n = len(texts)
     parts, n_parts = p.cut(texts)
     coded = parts.dictionary_encode()
     which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    groups, a_n, b_n, same = p.groups(coded.dictionary.to_pylist())
-    n = len(texts)
+    spelled, size, a_n, b_n = p.groups(coded.dictionary)
     row = np.repeat(np.arange(n), n_parts)
-    ok = (n_parts > 0) & (np.bincount(row, ~same[which], minlength=n) == 0) if len(which) else np.zeros(n, bool)
+    ok = (n_parts > 0) & (np.bincount(row, a_n[which] == 0, minlength=n) == 0)
     which, row = which[ok[row]], row[ok[row]]
-    names: dict[str, int] = {}
-    local = [[names.setdefault(g, len(names)) for g in x] for x in groups]
-    size = np.array([len(x) for x in local], np.int64)
-    flat, first = np.fromiter((g for x in local for g in x), np.int64), np.cumsum(size) - size
-    spread = size[which]
-    at = np.repeat(first[which] - (np.cumsum(spread) - spread), spread) + np.arange(spread.sum())
-    key, times = np.unique(np.repeat(row, spread) * max(1, len(names)) + flat[at], return_counts=True)
-    held = key % max(1, len(names))
-    bounds = np.searchsorted(key, np.arange(n + 1) * max(1, len(names)))
-    frequency = np.bincount(held, times, minlength=len(names)).astype(np.int64)
-    spelled = [";".join(x) for x in groups]
-    hashes, begin = [], np.searchsorted(row, np.arange(n + 1)).tolist()
-    order = which.tolist()
-    for i in range(n):
-        hashes.append(hashlib.sha256(";".join([spelled[j] for j in order[begin[i] : begin[i + 1]]]).encode()).hexdigest() if ok[i] else "")
+    named = spelled.dictionary_encode()
+    local, n_names = named.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(named.dictionary))
+    begin = np.cumsum(size) - size
+    part, at = C.spread(begin[which], size[which])
+    key, times = np.unique(row[part] * n_names + local[at], return_counts=True)
+    held, bounds = key % n_names, np.searchsorted(key, np.arange(n + 1) * n_names)
+    frequency = np.bincount(held, times, minlength=n_names).astype(np.int64)
     some = np.flatnonzero(frequency)  # not those of parts that only texts without tokens have
-    held, told = np.searchsorted(some, held), list(names)
+    held = np.searchsorted(some, held)
+    # a text's groups in order, as one text
+    data, first = C.raw(spelled)
+    written = np.append(0, np.cumsum(np.bincount(row, (first[begin + size] - first[begin])[which], minlength=n).astype(np.int64)))
+    data = data[C.spread(first[begin][which], (first[begin + size] - first[begin])[which])[1]]
+    hashes = [hashlib.sha256(data[a : b - 1]).hexdigest() if b > a else "" for a, b in itertools.pairwise(written.tolist())]
     total = [np.bincount(row, x[which], minlength=n).astype(np.int64) for x in (a_n, b_n, size)]
     none = [None] * n
     columns = [
         pa.array([number] * (n + 1), pa.int64()), pa.array([*ids.to_pylist(), None], pa.int64()), *(pa.array([*x.tolist(), None], pa.int64()) for x in total), pa.array([*hashes, None], pa.string()),
         pa.concat_arrays([C.lists(held, bounds, pa.int32()), pa.array([None], pa.list_(pa.int32()))]), pa.concat_arrays([C.lists(times, bounds, pa.int32()), pa.array([None], pa.list_(pa.int32()))]),
-        pa.array([*none, [told[i] for i in some]], pa.list_(pa.string())), pa.array([*none, frequency[some].tolist()], pa.list_(pa.int64())),
+        pa.array([*none, named.dictionary.take(pa.array(some)).to_pylist()], pa.list_(pa.string())), pa.array([*none, frequency[some].tolist()], pa.list_(pa.int64())),
     ]
     return pa.record_batch(columns, ["batch", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "held", "times", "names", "counts"])
 
