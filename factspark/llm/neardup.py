@@ -6,13 +6,14 @@ robustly (a candidate goes if a kept one is ALPHA times nearer to it than the no
 united, and a shard's part of that graph are the united lists among its members.
 
 Every node is a query, and goes to each shard where a partner may be at home: if y is at home with centre c, and x's nearest centre is c*, then |x - y| <= R
-asks |x - c|^2 - |x - c*|^2 <= 2 R |c - c*|. So no pair is lost between shards. There the search walks greedily from the medoid (and from
+asks |x - c|^2 - |x - c*|^2 <= 2 R |c - c*|. Of R only the part along c - c* matters, which for a difference in any direction of d dimensions is R / sqrt(d) in the mean
+square: SPREAD times that is allowed for, so up to SPREAD^2 dimensions no pair is lost between shards, and beyond them one in a thousand of those at the very threshold, which the audit sees. There the search walks greedily from the medoid (and from
 the query itself, where it is a member) with a beam, then opens every node found within the threshold less SLACK until nothing new comes. What is found is verified by the
 cosine of the original vectors in double precision, and counted where it is at home, so a partner counts once. Only counts and one edge for each
 node leave a task, never all pairs of a group.
 
 The audit compares AUDIT queries with all nodes, in every task's blocks; while fewer than RECALL of their partners were found, the search runs again with
-twice the beam and slack, RUNS times at most; the last recall is written to folder/audit and an operator whose recall stays below LEAST raises.
+twice the beam, slack and spread, RUNS times at most; the last recall is written to folder/audit and an operator whose recall stays below LEAST raises.
 
 Vectors that are null, zero, hold null or non-finite components, or are of another length than most (of equally many, the shorter), link with nothing: no links, a
 component of their own. Rows with null or repeated ids are vectors of their own; a component is named by its least id that is not null, and kept is vec_id = component_id (true
@@ -39,8 +40,8 @@ THRESHOLD = 0.95
 SHARD_ROWS, OVERLAP, DEGREE, POOL, ALPHA = 4096, 2, 24, (40, 24), 1.2
 #: Each node's so many nearest kept edges always lead back to it, so that no member of a crowd is left without a way in.
 WAYS_BACK = 4
-#: Open nodes that a walk keeps, how far below the threshold the range is opened, queries that one task searches together.
-BEAM, SLACK, QUERY_ROWS, LOCKSTEP = 24, 0.1, 16384, 256
+#: Open nodes that a walk keeps, how far below the threshold the range is opened, deviations allowed for between shards, queries that one task searches together.
+BEAM, SLACK, SPREAD, QUERY_ROWS, LOCKSTEP = 12, 0.1, 3.0, 16384, 256
 #: Centres are learned on so many rows for each, and on SAMPLE at most; so there are SAMPLE / PER_CENTRE centres at most.
 PER_CENTRE, SAMPLE, ROUNDS = 40, 200_000, 8
 AUDIT, RECALL, LEAST, RUNS = 200, 0.999, 0.9, 3
@@ -301,9 +302,9 @@ def graph_of(members: DataFrame, d: int, folder: str, degree: int) -> DataFrame:
     return C.staged(members.join(united, "node"), folder, "graph", compression="zstd")
 
 
-def searched(nodes: DataFrame, graph: DataFrame, parts: DataFrame, centres: np.ndarray, d: int, threshold: float, beam: int, slack: float) -> DataFrame:
+def searched(nodes: DataFrame, graph: DataFrame, parts: DataFrame, centres: np.ndarray, d: int, threshold: float, beam: int, slack: float, spread: float) -> DataFrame:
     """node, found (copies of other nodes linked with it, where that is counted), least (a node that its task has linked it with)."""
-    radius = math.sqrt(2 - 2 * threshold) if threshold < 1 else 0.0
+    radius = math.sqrt(max(0.0, 2 - 2 * threshold)) * min(1.0, spread / math.sqrt(d))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -388,7 +389,7 @@ def link(vectors: DataFrame, folder: str, threshold: float = THRESHOLD, id_col:
     graph = graph_of(members, d, folder, degree)
     truth = audited(nodes, d, threshold)
     for run in range(RUNS):
-        found = C.staged(searched(nodes, graph, parts, centres, d, threshold, beam << run, slack * (run + 1)), folder, f"found-{run}", compression="zstd")
+        found = C.staged(searched(nodes, graph, parts, centres, d, threshold, beam << run, slack * (run + 1), SPREAD * (1 << run)), folder, f"found-{run}", compression="zstd")
         counts = found.groupBy("node").agg(F.sum("found").alias("found"))
         got = {r.node: r.found for r in counts.join(F.broadcast(spark.createDataFrame(truth, "node long, n long")), "node").select("node", "found").collect()}
         all_links = sum(n for _, n in truth)
