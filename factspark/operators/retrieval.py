@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,16 +48,23 @@ def ranked(scored: DataFrame, score: str, key: str, k: int | None) -> DataFrame:
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+def usable(vectors: DataFrame, id_col: str) -> DataFrame:
+    """id, v (doubles) of rows that can be compared: an id, and at least one component, all of them finite."""
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return rows.where(F.col("id").isNotNull() & (F.size("v") > 0) & finite)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = FAN_IN, drop_self: bool = False) -> DataFrame:
     """query_id, id, distance, rank: the exact k nearest vectors (id, embedding) of each query (query_id, embedding), ties to the lesser id.
 
+    Vectors of equal length are compared. Null ids, and vectors that are null, empty or hold null or non-finite components, take no part.
     Both sides are cut into blocks by their counted rows; each pair of blocks is compared in numpy and returns k rows a query, all
     rows at the k-th distance considered. Distances are squared and rounded to six places."""
     import numpy as np
     import pyarrow as pa
 
-    left = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    right = vectors.where("embedding is not null").select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    left, right = usable(queries, "query_id"), usable(vectors, "id")
     rows, columns = max(1, -(-left.count() // QUERY_BLOCK)), max(1, -(-right.count() // VECTOR_BLOCK))
 
     def block(n: int) -> Column:
@@ -91,7 +99,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = FAN_IN, drop_self:
                 found.append((names[row[first]], own[near[first]], exact[first]))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "id", "distance"])
 
-    return ranked(placed.groupBy("i", "j").applyInArrow(kernel, "query_id long, id long, distance double"), "distance", "id", k)
+    return ranked(placed.groupBy("i", "j", F.size("v")).applyInArrow(kernel, "query_id long, id long, distance double"), "distance", "id", k)
 
 
 def fuse(lists: list[DataFrame], k: int | None = None) -> DataFrame:
@@ -113,11 +121,29 @@ def hybrid(dense: DataFrame, lexical: DataFrame, k: int = FUSED_FACTS) -> DataFr
 
 
 def rerank(fused: DataFrame, k: int, scorer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """The first k by a scorer (which adds rerank_score), else by the fused order."""
+    """The first k by a scorer (which adds rerank_score), else by the fused order.
+
+    A scorer made by `batch_scorer` gives a batch of questions that it fails on no scores; those keep the fused order, as does any question with a row that has none."""
     if scorer is None:
         return fused.where(F.col("rank") <= k)
-    order = W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
-    return scorer(fused).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    whole = F.min(F.col("rerank_score").isNotNull()).over(W.partitionBy("query_id"))
+    order = W.partitionBy("query_id").orderBy(F.desc(F.when(F.col("scored"), F.col("rerank_score"))), "rank")
+    return scorer(fused).withColumn("scored", whole).withColumn("rank", F.row_number().over(order)).drop("scored").where(F.col("rank") <= k)
+
+
+def batch_scorer(score: Callable[[list[str], list[str]], list[float]], question_col: str = "question", text_col: str = "text") -> Callable[[DataFrame], DataFrame]:
+    """A scorer for `rerank` from a function of questions and texts, called once for each Arrow batch of rows. Where it raises, or gives another number of scores, that
+    batch's rows get a null score."""
+
+    @F.pandas_udf("double")
+    def scores(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        try:
+            found = [float(x) for x in score(questions.tolist(), texts.tolist())]
+        except Exception:  # a model that fails must not end the query: the fused order stands in
+            found = []
+        return pd.Series(found if len(found) == len(texts) else [None] * len(texts), dtype="float64")
+
+    return lambda fused: fused.withColumn("rerank_score", F.when(~F.isnan(x := scores(F.col(question_col), F.col(text_col))), x))
 
 
 def context(questions: DataFrame, facts: DataFrame, evidence: DataFrame, links: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, normalize, pages, text
 from ..operators import relate as relations
+from ..operators.neighbours import near_graph
 from ..operators.retrieval import nearest
 from ..sources import models
 
@@ -40,14 +41,20 @@ def facts_of(page_rows: DataFrame, evidence: DataFrame, extractor=models.rule_ex
     return out.withColumn("id", key).withColumn("retrieval_text", shown).drop("n", "p", "page_text", "confidence").dropDuplicates(["id"])
 
 
-def relationships_of(new_facts: DataFrame, facts: DataFrame, encoder=None, known: DataFrame | None = None, classifier=None) -> tuple[DataFrame, DataFrame]:
-    """New relationships of some facts with all, and pairs left for review: five nearest others of each, then wording and rules."""
+#: New facts times facts, as far as they are compared exactly; beyond, candidates come from the graph of near neighbours.
+EXACT_PAIRS = 10**10
+
+
+def relationships_of(new_facts: DataFrame, facts: DataFrame, encoder=None, known: DataFrame | None = None, classifier=None, exact_pairs: int = EXACT_PAIRS) -> tuple[DataFrame, DataFrame]:
+    """New relationships of some facts with all, and pairs left for review: five nearest others of each, then wording and rules. Where more than exact_pairs pairs of
+    facts would be compared, the five nearest are those of an approximate graph, whose work grows with the number of facts."""
     encoder = encoder or models.hashed_encoder()
 
     def encoded(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.xxhash64("id").alias(name), F.col("id").alias("fact"), encoder(F.col("retrieval_text")).alias("embedding"))
 
     base, asked = encoded(facts, "id"), encoded(new_facts, "query_id")
-    near = nearest(base.select("id", "embedding"), asked.select("query_id", "embedding"), relations.CANDIDATES, drop_self=True)
+    find = nearest if base.count() * asked.count() <= exact_pairs else near_graph
+    near = find(base.select("id", "embedding"), asked.select("query_id", "embedding"), relations.CANDIDATES, drop_self=True)
     pairs = near.join(asked.select("query_id", F.col("fact").alias("a_id")), "query_id").join(base.select("id", F.col("fact").alias("b_id")), "id")
     return relations.relate(pairs, facts, known, classifier)
