@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, normalize, pages, text
-from ..operators import catalog, layout, merge, relate, retrieval
+from ..operators import catalog, layout, merge, neighbours, relate, retrieval
+from ..operators.textindex import TextIndex
+from ..sources.staging import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -327,6 +329,26 @@ def fts_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical(spark, sf_dir)
 
 
+@query("WITH " + SQL_BM25 + " SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM lexical")
+def fts_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ranking from a kept index: two merges bring all documents, one of them with texts that the third replaces and ids that it deletes."""
+    questions = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    index = TextIndex(spark, shared_folder(spark, "index"))
+    old = docs.where("id % 3 = 0").select("id", F.concat_ws(" ", "lang", F.reverse("text")).alias("text"))
+    index.merge(docs.where("id % 3 = 2").select("id", "text").union(old).union(docs.select((-F.col("id") - 1).alias("id"), "lang")))
+    index.merge(docs.where("id % 3 = 1"))
+    index.merge(docs.where("id % 3 = 0"), docs.select((-F.col("id") - 1).alias("id")))
+    return index.search(questions)
+
+
+@query()
+def near_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near neighbours of every vector from the graph of neighbour descent; approximate, tested against the exact ones."""
+    v = load(spark, sf_dir, "embeddings")
+    return neighbours.near_graph(v.select(F.col("vec_id").alias("id"), "embedding"), v.select(F.col("vec_id").alias("query_id"), "embedding"), relate.CANDIDATES, drop_self=True)
+
+
 def sql_nearest(queries: str, k: int, drop_self: bool) -> str:
     return f"""nd AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))), 6) AS distance
   FROM ({queries}) q JOIN embeddings v ON {'q.vec_id <> v.vec_id' if drop_self else 'true'}), dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM nd QUALIFY rank <= {k})"""
