@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-STEP = 1 << 22
+STEP = 1 << 21
 #: First bytes of UTF-8 sequences that may be white space to some tokenizer.
 UNSURE = (0xC2, 0xE1, 0xE2, 0xE3)
 FOLLOWS = np.array([0x21 <= b <= 0x7E or (b >= 0xC3 and b not in UNSURE) for b in range(256)])
@@ -212,6 +212,7 @@ def align(docs: DataFrame, byte_bpe: str, piece_model: str, folder: str, id_col:
         p, task = pair(byte_bpe, piece_model), TaskContext.get().partitionId()
         for k, b in enumerate(C.slices(batches, "text", STEP)):
             yield aligned_batch(p, task << 32 | k, b.column("doc_id"), b.column("text"))
+            C.give_back()  # the arrays of the next batch are as large
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pair(byte_bpe, piece_model)
