@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ids, normalize, pages, text
+from ..functions import ids, normalize, pages, tables, text
 from ..operators import catalog, layout, merge, neighbours, relate, retrieval
 from ..operators.textindex import TextIndex
 from ..sources.staging import shared_folder
@@ -538,6 +538,25 @@ def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence_of(pages_from_documents(spark, sf_dir)).select("id", "document_id", "page_id", "evidence_type", "extraction_confidence")
 
 
+def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A web page for each order: a table of its lines, whose first column spans all of them, under a head that spans two columns."""
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"))).alias("x"))
+    n = F.size("x").cast("string")
+    first = F.concat(F.lit('<td rowspan="'), n, F.lit('">'), F.col("x")[0]["l_returnflag"], F.lit("<table><tr><td>inner</table></td>"))
+    row = F.transform("x", lambda r, i: F.concat(F.lit("<tr>"), F.when(i == 0, first).otherwise(""), F.lit("<td>"), r["l_partkey"].cast("string"), F.lit("<td> by&nbsp;<b>"), r["l_linestatus"], F.lit("</b>\n&amp; co</tr>")))
+    html = F.concat(F.lit("<html><p>Order</p><table><thead><tr><th colspan=2>Lines: "), n, F.lit("</th><th>Mode</th></tr></thead><tbody>"), F.array_join(row, ""), F.lit("</tbody></table>"))
+    return lines.select(F.col("l_orderkey").alias("page_id"), html.alias("html"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, count(*) AS n, arg_min(l_returnflag, (l_linenumber, l_partkey, l_returnflag, l_linestatus)) AS flag FROM lineitem GROUP BY 1)
+SELECT l_orderkey AS page_id, CAST(0 AS INTEGER) AS position, 'Lines: ' || n || ' | Lines: ' || n || ' | Mode' || chr(10) || string_agg(flag || ' | ' || l_partkey || ' | by ' || l_linestatus || ' & co', chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) AS text
+FROM lineitem JOIN l USING (l_orderkey) GROUP BY l_orderkey, n""")
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of web pages as evidence text; those that are no tables, like the one cell within a cell, are left out."""
+    found = order_pages(spark, sf_dir).select("page_id", F.filter(tables.html_tables("html"), pages.meaningful_table).alias("t"))
+    return found.select("page_id", F.posexplode("t").alias("position", "rows")).select("page_id", "position", pages.serialize_table(F.col("rows")).alias("text"))
+
+
 def pages_from_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each customer with one sentence that holds a fact."""
     c = load(spark, sf_dir, "customer").join(load(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))

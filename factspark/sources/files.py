@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import document_id, page_id
 from ..functions.pages import complexity, file_title, may_hold_table, meaningful_table, printed_label, serialize_table
+from ..functions.tables import read_html
 
 #: content bytes -> a page each: text, width, height, images, drawings, tables (rows of cells)
 Parser = Callable[[bytes], list[dict]]
@@ -30,6 +31,12 @@ def text_parser(content: bytes) -> list[dict]:
     return [{"raw_text": t, "width": 612.0, "height": 792.0, "images": 0, "drawings": 0, "tables": []} for t in content.decode("utf-8", "replace").split("\f")]
 
 
+def html_parser(content: bytes) -> list[dict]:
+    """One page of UTF-8 HTML: the text outside of tables, and the tables as grids."""
+    text, tables = read_html(content.decode("utf-8", "replace"))
+    return [{"raw_text": text, "width": 612.0, "height": 792.0, "images": 0, "drawings": 0, "tables": tables}]
+
+
 def parse_pages(documents: DataFrame, parser: Parser = text_parser) -> tuple[DataFrame, DataFrame]:
     """(pages, issues). A file that the parser refuses gives an issue and no page."""
 
