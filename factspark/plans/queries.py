@@ -576,6 +576,16 @@ def ingest_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts_of(rows, evidence_of(rows)).select("document_id", "subject", "predicate", "numeric_value", "normalized_value", "normalized_unit", "period_start", "period_end", "quote_found")
 
 
+@query("""SELECT 'c' || c_custkey AS document_id, split_part(n_name, ' ', 1) AS subject, trim(substr(n_name, length(split_part(n_name, ' ', 1)) + 1) || ' revenue') AS predicate, CAST(c_custkey % 900 + 1 AS VARCHAR) AS raw_value,
+  'crore' AS raw_unit, CAST(c_custkey % 900 + 1 AS DOUBLE) AS numeric_value, 'FY' || (c_custkey % 20 + 10) AS period_label FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def facts_by_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of all pages, extracted from SQL by the table function."""
+    from ..sources import udtf
+
+    udtf.register(spark)
+    return spark.sql("SELECT p.document_id, f.subject, f.predicate, f.raw_value, f.raw_unit, f.numeric_value, f.period_label FROM {pages} p, LATERAL extract_facts(p.raw_text) f", pages=pages_from_customers(spark, sf_dir))
+
+
 @query()
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieved context of questions about parts: facts by name, evidence by type, relationships of line items; tested against a plain version."""
