@@ -553,7 +553,8 @@ SELECT l_orderkey AS page_id, CAST(0 AS INTEGER) AS position, 'Lines: ' || n ||
 FROM lineitem JOIN l USING (l_orderkey) GROUP BY l_orderkey, n""")
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables of web pages as evidence text; those that are no tables, like the one cell within a cell, are left out."""
-    found = order_pages(spark, sf_dir).select("page_id", F.filter(tables.html_tables("html"), pages.meaningful_table).alias("t"))
+    source = spread(order_pages(spark, sf_dir), load(spark, sf_dir, "lineitem"))
+    found = source.select("page_id", F.filter(tables.html_tables("html"), pages.meaningful_table).alias("t"))
     return found.select("page_id", F.posexplode("t").alias("position", "rows")).select("page_id", "position", pages.serialize_table(F.col("rows")).alias("text"))
 
 
