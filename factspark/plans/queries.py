@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, normalize, pages, tables, text
-from ..operators import catalog, layout, merge, neighbours, relate, retrieval
+from ..operators import catalog, layout, merge, neighbours, relate, retrieval, wording
 from ..operators.textindex import TextIndex
 from ..sources.staging import shared_folder
 
@@ -414,6 +414,31 @@ def relate_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relate.plausible(a.join(b, F.col("b_id") == F.col("a_id") + 1)).select("a_id", "b_id", "subject_sim", "predicate_sim")
 
 
+@query()
+def similar_customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of customers' names that count as the same wording without being equal."""
+    return wording.similar_wordings(load(spark, sf_dir, "customer"), relate.IDENTICAL, "c_name")
+
+
+def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' balances as facts of two reports: names differ by few signs, the second report adds a stop to the metric and moves the values a little."""
+    s = load(spark, sf_dir, "supplier").withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    none = F.lit(None).cast("string")
+    return s.select(
+        (F.col("s_suppkey") * 2 + F.col("copy")).cast("string").alias("id"), F.col("s_name").alias("subject"), F.when(F.col("copy") == 0, "closing account balance").otherwise("Closing account balance.").alias("predicate"),
+        (F.col("s_acctbal") * F.when(F.col("copy") == 0, 1.0).otherwise(1.005)).alias("normalized_value"), F.lit("USD crore").alias("normalized_unit"), none.alias("period_start"), none.alias("period_end"),
+        F.concat(F.lit("FY"), (F.col("s_nationkey") % 25 + 10).cast("string")).alias("period_label"), none.alias("scope"), none.alias("status"),
+    )
+
+
+@query()
+def relate_near_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships of all balances that the rules decide, found by their wording instead of by neighbours."""
+    facts = balances(spark, sf_dir)
+    edges, _ = relate.relate(wording.decidable(facts), facts)
+    return edges.select("fact_a_id", "fact_b_id", "relationship_type", "confidence", "context_dimension")
+
+
 @query(ORACLE_FACTS + " SELECT a.id AS a_id, b.id AS b_id, " + " OR ".join(f"(contains(lower(a.predicate), '{m}') <> contains(lower(b.predicate), '{m}'))" for m in text.MARKERS) + " AS asymmetric FROM f a JOIN f b ON b.k = a.k + 1")
 def asymmetric_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = facts_src(spark, sf_dir)
