@@ -17,6 +17,7 @@ What is left to chance: many long wordings that share nearly all of their pieces
 
 from __future__ import annotations
 
+import difflib
 import math
 import zlib
 from collections import Counter
@@ -28,11 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import shared_folder, written
-from .relate import IDENTICAL, PLAUSIBLE, similarity, tidy
+from .relate import IDENTICAL, PLAUSIBLE, tidy
 
 #: Frequencies of pieces are kept by hash, so that their table has this many rows at most; any order of pieces gives the same pairs.
 BUCKETS = 1 << 16
 RUN, SHORT, EPSILON = 3, 24, 1e-9
+#: The side of a pair that a dealt piece stands for.
+SHORTER, LONGER, SAME = 0, 1, 2
 
 
 def pieces(text: str, q: int) -> list[str]:
@@ -75,23 +78,23 @@ def first_pieces(n: int, total: int, threshold: float, q: int) -> int:
     return n - q + 1 - max(1, math.ceil(common - EPSILON)) + 1
 
 
-def looked_up(n: int, threshold: float) -> list[tuple[str, int, int]]:
-    """(tag, q, how many of the rarest pieces) by which a wording of n signs is dealt; of both sides of a pair, pieces with the same tag meet."""
+def looked_up(n: int, threshold: float) -> list[tuple[str, int, int, int]]:
+    """(tag, side, q, how many of the rarest pieces) by which a wording of n signs is dealt; pieces with the same tag meet, those of the shorter side those of the longer."""
     low, high = partner_lengths(n, threshold)
     limit, out, least = turn(threshold), [], low
     if threshold > 0.8:
         for m in range(low, high + 1):
             if min(n, m) <= SHORT and not by_variants(n, m, threshold):
                 q = RUN if n + m >= limit else 1
-                out.append((f"{min(n, m)},{max(n, m)},", q, first_pieces(n, n + m, threshold, q)))
+                out.append((f"{min(n, m)},{max(n, m)},", SAME if n == m else LONGER if n > m else SHORTER, q, first_pieces(n, n + m, threshold, q)))
         if n <= SHORT:
-            return [x for x in out if x[2] > 0]
+            return [x for x in out if x[3] > 0]
         least = max(low, SHORT + 1)
     if n + least < limit:
-        out.append(("", 1, first_pieces(n, n + least, threshold, 1)))
+        out.append(("", SAME, 1, first_pieces(n, n + least, threshold, 1)))
     if n + high >= limit:
-        out.append(("", RUN, first_pieces(n, max(n + least, limit), threshold, RUN)))
-    return [x for x in out if x[2] > 0]
+        out.append(("", SAME, RUN, first_pieces(n, max(n + least, limit), threshold, RUN)))
+    return [x for x in out if x[3] > 0]
 
 
 def variants(text: str, threshold: float) -> set[str]:
@@ -139,23 +142,36 @@ def similar_wordings(texts: DataFrame, threshold: float, column: str = "text") -
         for frame in frames:
             out = []
             for n, text in zip(frame["n"], frame["text"], strict=True):
-                out += [(v, n, len(text)) for v in variants(text, threshold)]
+                out += [(v, SAME, n, len(text)) for v in variants(text, threshold)]
                 wanted = looked_up(len(text), threshold)
-                ranked = {q: sorted((order.value[bucket(p)], p) for p in pieces(text, q)) for q in {q for _, q, _ in wanted}}
-                out += [(f"p{tag}{p}", n, len(text)) for tag, q, k in wanted for _, p in ranked[q][:k]]
-            yield pd.DataFrame(out, columns=["piece", "n", "len"])
+                ranked = {q: sorted((order.value[bucket(p)], p) for p in pieces(text, q)) for q in {q for _, _, q, _ in wanted}}
+                out += [(f"p{tag}{p}", side, n, len(text)) for tag, side, q, k in wanted for _, p in ranked[q][:k]]
+            yield pd.DataFrame(out, columns=["piece", "side", "n", "len"])
 
-    dealt = written(wordings.mapInPandas(deal, "piece string, n long, len int"), f"{folder}/pieces")
-    left, right = (dealt.select("piece", F.col("n").alias(s), F.col("len").alias(f"len_{s}")) for s in "xy")
+    dealt = written(wordings.mapInPandas(deal, "piece string, side int, n long, len int"), f"{folder}/pieces")
+    left, right = (dealt.select("piece", "side", F.col("n").alias(s), F.col("len").alias(f"len_{s}")) for s in "xy")
+    right = right.withColumn("side", F.when(F.col("side") == SAME, SAME).otherwise(LONGER - F.col("side")))
     shorter, total = F.least("len_x", "len_y"), F.col("len_x") + F.col("len_y")
-    met = left.join(right, "piece").where((F.col("x") < F.col("y")) & (2 * shorter >= threshold * total - EPSILON)).select("x", "y").distinct()
+    met = left.join(right, ["piece", "side"]).where((F.col("x") < F.col("y")) & (2 * shorter >= threshold * total - EPSILON)).select("x", "y").distinct()
     for side in "xy":
         met = met.join(wordings.select(F.col("n").alias(side), F.col("text").alias(f"text_{side}")), side)
     # the rows are few bytes, but each costs a comparison, so they are not left to the partitions that their size asks for
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pairs = met.select(F.least("text_x", "text_y").alias("a"), F.greatest("text_x", "text_y").alias("b")).repartition(tasks, "a", "b")
-    judged = pairs.withColumns({"ab": similarity(F.col("a"), F.col("b")), "ba": similarity(F.col("b"), F.col("a"))})
-    return judged.where(F.greatest("ab", "ba") >= threshold)
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # one look at each pair: a filter on columns of a Python function would be pushed below them and call it again
+        for frame in frames:
+            out = []
+            for a, b in zip(frame["a"], frame["b"], strict=True):
+                there = difflib.SequenceMatcher(None, a, b)
+                if there.quick_ratio() >= threshold:
+                    found = there.ratio(), difflib.SequenceMatcher(None, b, a).ratio()
+                    if max(found) >= threshold:
+                        out.append((a, b, *found))
+            yield pd.DataFrame(out, columns=["a", "b", "ab", "ba"])
+
+    return pairs.mapInPandas(judge, "a string, b string, ab double, ba double")
 
 
 def both_ways(pairs: DataFrame, texts: DataFrame, column: str, name: str) -> DataFrame:
