@@ -286,6 +286,36 @@ def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.progress(line.select(F.col("l_orderkey").alias("document_id"), F.when(F.col("l_returnflag") != "N", F.col("l_shipdate")).alias("processed_at")))
 
 
+def news_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user is a document; sign-ups find it, purchases end it, other events report one of its pages, which errors fail."""
+    event, page = F.col("event_type"), F.col("event_id") % 97
+    kind = F.when(event == "signup", "found").when(event == "purchase", "related").otherwise("page")
+    n = F.floor(F.coalesce("value", F.lit(0.0)) % 10).cast("int")
+    return load(spark, sf_dir, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("document_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(page % 7 == 0, page + 1000).otherwise(page).cast("int").alias("page"),
+        (F.lit(10) + n).alias("pages"), (event != "error").alias("ok"), n.alias("facts"), n.alias("relationships"),
+    )
+
+
+@query("""WITH n AS (SELECT 'u' || user_id AS document_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'found' WHEN 'purchase' THEN 'related' ELSE 'page' END AS kind, event_id % 97 AS page,
+  event_type <> 'error' AS ok, CAST(floor(coalesce(value, 0) % 10) AS BIGINT) AS n FROM events WHERE user_id IS NOT NULL AND event_id IS NOT NULL),
+p AS (SELECT document_id, page, arg_max(ok, seq) AS ok, arg_max(n, seq) AS n FROM n WHERE kind = 'page' GROUP BY 1, 2),
+c AS (SELECT document_id, count(*) AS pages_done, count(*) FILTER (NOT ok) AS pages_failed, CAST(coalesce(sum(n) FILTER (ok), 0) AS BIGINT) AS facts_extracted FROM p GROUP BY 1),
+j AS (SELECT document_id, arg_max(kind, seq) FILTER (kind <> 'page') AS kind, coalesce(10 + arg_max(n, seq) FILTER (kind = 'found'), 0) AS pages_total, coalesce(arg_max(n, seq) FILTER (kind = 'related'), 0) AS relationships_found FROM n GROUP BY 1),
+a AS (SELECT document_id, kind, pages_total, relationships_found, coalesce(pages_done, 0) AS pages_done, coalesce(pages_failed, 0) AS pages_failed, coalesce(facts_extracted, 0) AS facts_extracted FROM j LEFT JOIN c USING (document_id))
+SELECT document_id, pages_total, pages_done, pages_failed, facts_extracted, relationships_found, CASE kind WHEN 'related' THEN 'completed' WHEN 'found' THEN 'processing' ELSE 'queued' END AS status,
+  CASE WHEN kind = 'related' THEN 'completed' WHEN kind = 'found' AND pages_done >= pages_total THEN 'finding_relationships' WHEN kind = 'found' THEN 'processing_pages' ELSE 'queued' END AS stage,
+  CAST(CASE WHEN kind = 'related' THEN 100 WHEN kind IS NULL THEN 0 WHEN pages_done >= pages_total THEN 75 ELSE 70 * pages_done // greatest(pages_total, 1) END AS INTEGER) AS progress FROM a""")
+def job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs from a stream of news that is run to its end."""
+    from ..streaming.jobs import NEWS, job_rows, stream_jobs
+
+    folder = shared_folder(spark, "jobs")
+    news_from_events(spark, sf_dir).write.parquet(f"{folder}/news")
+    stream_jobs(spark, spark.readStream.schema(NEWS).parquet(f"{folder}/news"), f"{folder}/blocks", f"{folder}/checkpoint").awaitTermination()
+    return job_rows(spark, f"{folder}/blocks").drop("stalled")
+
+
 def event_halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
     return merge.one_per_key(e.where("event_id % 2 = 0"), ["user_id"], "event_id"), e.where("event_id % 2 = 1")
