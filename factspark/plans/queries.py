@@ -642,6 +642,36 @@ def facts_by_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT p.document_id, f.subject, f.predicate, f.raw_value, f.raw_unit, f.numeric_value, f.period_label FROM {pages} p, LATERAL extract_facts(p.raw_text) f", pages=pages_from_customers(spark, sf_dir))
 
 
+@query("""WITH o AS (SELECT 'c' || o_custkey AS document_id, o_orderkey AS k, o_orderstatus <> 'F' OR o_orderkey % 9 = 0 AS p FROM orders)
+SELECT document_id, count(*) AS pages_total, count(*) AS pages_done, CAST(0 AS BIGINT) AS pages_failed, CAST(sum(CASE WHEN NOT p THEN 0 WHEN k % 10 = 0 THEN 3 ELSE 1 END) AS BIGINT) AS facts_extracted,
+  CAST(0 AS BIGINT) AS relationships_found, 'processing' AS status, 'finding_relationships' AS stage, 75 AS progress, CAST(max(CASE WHEN p AND k % 10 = 5 THEN 1 ELSE 0 END) AS BIGINT) AS issues FROM o GROUP BY 1""")
+def ingest_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ingest run in which each customer is a document and each order a page. Pages of status F are done before, but for those with an error. Every
+    fifth page holds a chart: half of them have enough words for it, the others need a reader that isn't there, which is told once for each document."""
+    from .ingest import ingest_pages
+
+    o = load(spark, sf_dir, "orders").where("o_orderkey is not null and o_custkey is not null").withColumn("k", F.col("o_orderkey"))
+    k, text = F.col("k"), F.col("k").cast("string")
+    document = F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("document_id")
+
+    def sentence(head: str, number, unit: str, year) -> F.Column:
+        return F.concat(F.lit(head), number.cast("string"), F.lit(f" {unit} in FY"), year.cast("string"))
+
+    rows = o.select(text.alias("id"), document, k.cast("int").alias("pdf_page_number"), sentence("Total revenue was ", k % 900 + 1, "crore", k % 20 + 10).alias("raw_text"), F.array().cast("array<string>").alias("tables"), (k % 5 == 0).alias("is_complex"))
+
+    def word(y: float, t) -> F.Column:
+        return F.struct(F.lit(0.0).alias("x0"), F.lit(y).alias("y0"), F.lit(90.0).alias("x1"), F.lit(y + 8).alias("y1"), t.alias("text"))
+
+    long_ = F.array(word(0.0, sentence("Unit revenue was ", k % 900 + 100, "crore", F.lit(15))), word(10.0, sentence("Unit margin was ", k % 800 + 100, "lakh", F.lit(16))))
+    words = o.where("k % 5 = 0").select(text.alias("page_id"), F.when(k % 10 == 0, long_).otherwise(F.array(word(0.0, F.lit("chart")))).alias("words"))
+    known = o.where("o_orderstatus = 'F'").select(text.alias("id"), F.col("o_orderdate").alias("processed_at"))
+    evidence = o.select(F.concat(F.lit("e"), text).alias("id"), text.alias("page_id"))
+    errors = o.where("k % 9 = 0").select(F.concat(F.lit("i"), text).alias("id"), document, text.alias("page_id"), F.concat(F.lit("e"), text).alias("evidence_id"), F.lit(catalog.FACT_ERROR).alias("issue_type"), F.lit("no reply").alias("description"), F.lit(None).cast("double").alias("confidence"))
+    run = ingest_pages(spread(rows, load(spark, sf_dir, "orders")), shared_folder(spark, "ingest"), known_pages=known, known_evidence=evidence, known_issues=errors, words=words)
+    n = run.issues.groupBy("document_id").agg(F.count("*").alias("issues"))
+    return run.jobs.drop("stalled").join(n, "document_id", "left").fillna(0, ["issues"])
+
+
 @query()
 def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieved context of questions about parts: facts by name, evidence by type, relationships of line items; tested against a plain version."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -47,16 +48,33 @@ def rule_extractor(text: str) -> list[dict]:
     return out
 
 
-def extract_facts(units: DataFrame, extractor: Callable[[str], list[dict]] = rule_extractor) -> DataFrame:
-    """Rows of units (with a column text) with an array of facts; texts too short to hold any have an empty one."""
+def extract_facts(units: DataFrame, extractor: Callable[[str], list[dict]] = rule_extractor, attempts: int | None = None) -> DataFrame:
+    """Rows of units (with a column text) with an array of facts; texts too short to hold any have an empty one.
+
+    With attempts, an extractor that raises is asked again, with the error if it takes a second argument, up to that many times; then the row has
+    no facts and its error (of 500 signs) in a further column. Without, the error ends the query."""
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema)
 
+    def tried(prompt: str) -> tuple[list[dict], str | None]:
+        error: Exception | None = None
+        corrects = len(inspect.signature(extractor).parameters) > 1
+        for _ in range(max(attempts or 1, 1)):
+            try:
+                return (extractor(prompt, str(error)) if error and corrects else extractor(prompt)), None
+            except Exception as e:  # any fault of a model outside becomes an issue of its page
+                if attempts is None:
+                    raise
+                error = e
+        return [], f"{type(error).__name__}: {error}"[:500]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(facts=[extractor(t) for t in frame["prompt"]]).drop(columns="prompt")
+            got = [tried(t) for t in frame["prompt"]]
+            out = frame.assign(facts=[f for f, _ in got]).drop(columns="prompt")
+            yield out if attempts is None else out.assign(error=[e for _, e in got])
 
     prompt = F.when(extractable(F.col("text")), prompt_text(F.col("text"))).otherwise("")
-    return units.withColumn("prompt", prompt).mapInPandas(run, f"{fields}, facts array<{EXTRACTED_FACT}>")
+    return units.withColumn("prompt", prompt).mapInPandas(run, f"{fields}, facts array<{EXTRACTED_FACT}>" + (", error string" if attempts is not None else ""))
 
 
 def hashed_encoder(dim: int = 64) -> Callable[[Column], Column]:
