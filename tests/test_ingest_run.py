@@ -90,7 +90,7 @@ def test_charts(spark, folder):
     run = ingest_pages(rows, folder, words=words, reader=reader)
     charts = {r.page_id: (r.extraction_confidence, r.text) for r in run.evidence.where("evidence_type = 'chart'").collect()}
     assert charts == {"p1": (0.6, "\n".join(long_)), "p2": (0.8, "Plant output was 77 million in FY20"), "p3": (0.2, "A title")}
-    assert sorted(r.predicate for r in run.facts.collect()) == ["margin", "output", "revenue"]
+    assert sorted(r.raw_value for r in run.facts.collect()) == ["123", "456", "77"]
     issues = sorted((r.issue_type, r.page_id, r.confidence) for r in run.issues.collect())
     assert issues == [("low_confidence_visual_extraction", "p3", 0.2), ("vision_model_unavailable", "p5", None)]  # once for the document
     assert by_id(run.jobs)["d"].facts_extracted == 3
