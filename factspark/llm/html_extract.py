@@ -3,8 +3,9 @@
 Each page's containers are scored; the best one's generalised path (tags with their classes, digits cut) is a vote of the
 page. Spark counts the votes by host, and the page is extracted again from the elements on its host's winning path; a page
 without such an element uses its own best container. Menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles and comments are left out, by tag, role, class or id. A name counts by its leading part or as a whole, never by a part inside, and an id says
-nothing of headings and paragraphs. No element is left out by name, and no form, that holds the page's article or main, or, if none is outside, most of the page's unlinked
+styles and comments are left out, by tag, role, class or id. A header is left out wherever it stands, that of an article with its headline too. A name
+counts by its leading part or as a whole, never by a part inside unless it tells of comments (user-comments), and an id says nothing of headings and
+paragraphs. Work is linear in a page's elements. No element is left out by name, and no form, that holds the page's article or main, or, if none is outside, most of the page's unlinked
 text; only readers' comments, adverts and consent texts are, however long, if they hold no article.
 
 Null html is empty and gives empty text; a null url, or one without a host, belongs to the host ''. Repeated rows vote and
@@ -17,7 +18,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -66,13 +67,21 @@ class Element:
     parts: list = field(default_factory=list)  # texts, and numbers of child elements, in page order
 
 
+def is_comments(part: str) -> bool:
+    """comment, comments, and names that end in them (readercomments) but not after a state (nocomments)."""
+    stem = part.removesuffix("s").removesuffix("comment")
+    return len(stem) < len(part.removesuffix("s")) and stem not in STATES
+
+
 def skipped_names(tag: str, classes: str, id_: str) -> frozenset:
-    """The skipped names that leave an element out: those of whole classes or ids, and of the leading parts of classes but those of an
-    article or main."""
+    """The skipped names that leave an element out: those of whole classes or ids, of the leading parts of classes but those of an
+    article or main, and of comments in any part."""
     found: set = set()
     for is_id, token in [(False, x) for x in classes.split()] + [(True, x) for x in id_.split() if tag not in ANCHORS]:
         parts = [x for x in re.split(r"[-_]+", CAMEL.sub("-", token).lower()) if x]
         told = SKIPPED_NAMES.intersection(parts) if STATES.isdisjoint(parts) else None
+        if STATES.isdisjoint(parts) and any(is_comments(x) for x in parts):
+            found.add("comments")
         if told and (all(x in SKIPPED_NAMES or x in PLACES or x.isdigit() for x in parts) or not is_id and tag not in BODIES and parts[0] in SKIPPED_NAMES - COMMON):
             found |= told
     return frozenset(found)
@@ -114,7 +123,7 @@ def parse(page: str) -> list[Element]:
     """The elements of a page; element 0 is the root."""
     tree, open_ = [Element("")], [0]
     at, low = 0, None
-    count: Counter = Counter()  # open elements by tag
+    where: dict[str, list[int]] = defaultdict(list)  # places in open_ of each tag, the innermost last
 
     def text(to: int) -> None:
         if to > at:
@@ -122,9 +131,13 @@ def parse(page: str) -> list[Element]:
 
     def end_from(i: int) -> None:
         """Ends the open elements from the i-th."""
-        count.subtract(tree[x].tag for x in open_[i:])
+        for x in open_[i:]:
+            where[tree[x].tag].pop()
         del open_[i:]
 
+    def innermost(tags) -> int:
+        return max((where[x][-1] for x in tags if where[x]), default=0)
+
     while m := TOKEN.search(page, at):
         text(m.start())
         at = m.end()
@@ -133,17 +146,11 @@ def parse(page: str) -> list[Element]:
             continue
         tag = name.lower()
         if m[1] or m[4]:
-            if count[tag] > 0:
-                end_from(next(i for i in range(len(open_) - 1, 0, -1) if tree[open_[i]].tag == tag))
+            if where[tag]:
+                end_from(where[tag][-1])
             continue
-        if tag in CLOSES and any(count[x] > 0 for x in CLOSES[tag][0]):
-            ends, stop = CLOSES[tag]
-            for i in range(len(open_) - 1, 0, -1):
-                if tree[open_[i]].tag in ends:
-                    end_from(i)
-                    break
-                if tree[open_[i]].tag in stop:
-                    break
+        if tag in CLOSES and (ended := innermost(CLOSES[tag][0])) and ended >= innermost(CLOSES[tag][1]):
+            end_from(ended)
         names, skipped, named = "", tag in SKIPPED_TAGS, frozenset()
         if (attributes := m[3] or m[6]) and TELLING.search(attributes):
             given = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
@@ -164,24 +171,45 @@ def parse(page: str) -> list[Element]:
                 close = page.find(">", end)
                 at = len(page) if close < 0 else close + 1
         elif tag not in VOID:
+            where[tag].append(len(open_))
             open_.append(len(tree) - 1)
-            count[tag] += 1
     text(len(page))
     if any(e.named for e in tree):
         spare(tree)
     return tree
 
 
+def step(e: Element) -> str:
+    """A tag with its classes, without digits and so alike for pages of one design."""
+    names = ".".join(sorted(set(re.sub(r"\d+", "", e.names).split())))
+    return e.tag + ("." + names if names else "")
+
+
 def path(tree: list[Element], i: int) -> str:
-    """Tags with their classes from the root, without digits and so alike for pages of one design."""
+    """The steps from the root."""
     steps = []
     while i > 0:
-        names = ".".join(sorted(set(re.sub(r"\d+", "", tree[i].names).split())))
-        steps.append(tree[i].tag + ("." + names if names else ""))
+        steps.append(step(tree[i]))
         i = tree[i].parent
     return ">".join(reversed(steps))
 
 
+def on_path(tree: list[Element], winner: str) -> list[int]:
+    """The outermost usable elements whose path is the winner. Each element only goes on from the place that its parent reached in it."""
+    kept, roots = usable(tree), []
+    reached = [-1] * len(tree)
+    reached[0] = 0
+    for i, e in enumerate(tree[1:], 1):
+        at = reached[e.parent]
+        if at >= 0 and kept[i] and winner.startswith(own := step(e), at):
+            at += len(own)
+            if at == len(winner):
+                roots.append(i)
+            elif winner[at] == ">":
+                reached[i] = at + 1
+    return roots
+
+
 def usable(tree: list[Element]) -> list[bool]:
     """Whether each element and all around it may hold article text."""
     out = [True]
@@ -256,16 +284,7 @@ def block_texts(tree: list[Element], roots: list[int]) -> list[str]:
 def extract(page: str, winner: str | None = None) -> str:
     """The main text, from the elements on the winning path, or else from the page's own best container."""
     tree = parse(page)
-    roots: list[int] = []
-    if winner:
-        kept, last = usable(tree), winner.rpartition(">")[2].split(".")[0]
-        inside = [False] * len(tree)
-        for i, e in enumerate(tree[1:], 1):
-            inside[i] = inside[e.parent]
-            if kept[i] and not inside[i] and e.tag == last and path(tree, i) == winner:
-                roots.append(i)
-                inside[i] = True
-    got = block_texts(tree, roots)
+    got = block_texts(tree, on_path(tree, winner)) if winner else []
     return " ".join(got or block_texts(tree, [best(tree)]))
 
 
