@@ -20,6 +20,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import itertools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 STEP = 1 << 21
+#: Bytes of parts that are encoded as one text.
+TOGETHER = 1 << 12
 #: First bytes of UTF-8 sequences that may be white space to some tokenizer.
 UNSURE = (0xC2, 0xE1, 0xE2, 0xE3)
 FOLLOWS = np.array([0x21 <= b <= 0x7E or (b >= 0xC3 and b not in UNSURE) for b in range(256)])
@@ -45,6 +48,10 @@ def byte_signs() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def large_texts(first: np.ndarray, data: np.ndarray) -> pa.LargeStringArray:
+    return pa.LargeStringArray.from_buffers(len(first) - 1, pa.py_buffer(first.astype(np.int64)), pa.py_buffer(data))
+
+
 class Table:
     """Byte strings by number, in one array."""
 
@@ -61,6 +68,8 @@ class Pair:
     """Both tokenizers, and the bytes of each id."""
 
     def __init__(self, byte_bpe: str, piece_model: str):
+        # a worker's threads would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -93,26 +102,60 @@ class Pair:
         start = np.sort(np.concatenate([text_start, at + 1]))
         # an offset in the kept bytes is smaller by the cuts before it
         first = np.append(start - np.searchsorted(at, start), len(buf) - len(at))
-        parts = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(first.astype(np.int64)), pa.py_buffer(buf[keep]))
-        return parts, np.diff(np.searchsorted(start, off))
+        return large_texts(first, buf[keep]), np.diff(np.searchsorted(start, off))
+
+    def coded(self, texts: pa.Array, first: np.ndarray, size: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+        """For A and for B, the ids of all texts, where in them each part's begin, and how many those are; and whether both give a text's bytes back,
+        with tokens that end where its parts end. Texts and parts begin with a space. first: each text's first part, and the number of parts. size: the parts' bytes."""
+        found, same = [], np.ones(len(texts), bool)
+        spelled = texts.to_pylist()
+        buf, off = C.raw(texts)
+        ends, text = np.cumsum(size), np.repeat(np.arange(len(texts)), np.diff(first))
+        for side, table in enumerate((self.a_table, self.b_table)):
+            # B adds the space itself
+            ids = self.b.encode([t[1:] for t in spelled], num_threads=1) if side else [x.ids for x in self.a.encode_batch_fast(spelled, add_special_tokens=False)]
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat, stop = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(n.sum())), np.append(0, np.cumsum(n))
+            at = np.append(0, np.cumsum(table.size[flat]))
+            whole = np.diff(at[stop]) == np.diff(off)
+            kept = np.flatnonzero(whole)
+            got, want = (table.joined(flat), buf) if whole.all() else (table.joined(flat[np.repeat(whole, n)]), buf[np.repeat(whole, np.diff(off))])
+            unlike = np.flatnonzero(got != want)
+            whole[kept[np.searchsorted(np.cumsum(np.diff(off)[kept]), unlike, "right")]] = False
+            due = ends - (off[:-1] - at[stop[:-1]])[text]
+            place = np.minimum(np.searchsorted(at, due), len(flat))
+            whole[text[at[place] != due]] = False
+            start = np.append(0, place)[:-1]
+            start[first[:-1]] = stop[:-1]
+            found.append((flat, start, place - start))
+            same &= whole
+        return found, same
 
     def encoded(self, parts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """A's and B's ids of all parts, and how many each part has; none where one of them does not give a part's bytes back."""
-        texts = parts.to_pylist()
-        found = [[x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)]
-        n = [np.fromiter(map(len, x), np.int64, len(x)) for x in found]
-        ids = [np.fromiter(itertools.chain.from_iterable(x), np.int64, int(k.sum())) for x, k in zip(found, n, strict=True)]
-        same = np.ones(len(parts), bool)
+        """A's and B's ids of all parts, and how many each part has; none where one of them does not give a part's bytes back. Parts are encoded
+        together, up to TOGETHER bytes, where the cuts between them are as in a text; those of a text that does not come back are encoded again one by one."""
         buf, off = C.raw(parts)
-        for flat, k, table in zip(ids, n, (self.a_table, self.b_table), strict=True):
-            owner = np.repeat(np.arange(len(k)), k)
-            size = np.bincount(owner, table.size[flat], minlength=len(k)).astype(np.int64)
-            same &= size == np.diff(off) + 1
-            got = table.joined(flat[same[owner]])
-            part, place = C.spread(np.zeros(len(k), np.int64), np.where(same, size, 0))
-            want = np.where(place > 0, buf[np.maximum(off[part] + place - 1, 0)] if len(buf) else 32, 32)
-            same[part[got != want]] = False
-        return [flat[same[np.repeat(np.arange(len(k)), k)]] for flat, k in zip(ids, n, strict=True)], [np.where(same, k, 0) for k in n]
+        n, size = len(parts), np.diff(off) + 1
+        at = np.append(0, np.cumsum(size))
+        spaced, inside = np.full(at[-1], 32, np.uint8), np.ones(at[-1], bool)
+        inside[at[:-1]] = False
+        spaced[inside] = buf
+        # a part that may follow another one, and be followed
+        plain = np.zeros(n, bool)
+        if not self.whole:
+            plain[size > 1] = FOLLOWS[spaced[at[:-1][size > 1] + 1]]
+            plain &= spaced[at[1:] - 1] != 32
+        begins = np.ones(n, bool)
+        begins[1:] = ~(plain[1:] & plain[:-1]) | (np.diff(at[:-1] // TOGETHER) > 0)
+        first = np.append(np.flatnonzero(begins), n)
+        found, same = self.coded(large_texts(at[first], spaced), first, size)
+        again = np.flatnonzero(~np.repeat(same, np.diff(first)))
+        if len(again):
+            alone, same = self.coded(large_texts(np.append(0, np.cumsum(size[again])), spaced[C.spread(at[again], size[again])[1]]), np.arange(len(again) + 1), size[again])
+            for k, ((ids, start, count), (more, more_start, more_count)) in enumerate(zip(found, alone, strict=True)):
+                start[again], count[again] = len(ids) + more_start, np.where(same, more_count, 0)
+                found[k] = np.append(ids, more)[C.spread(start, count)[1]], start, count
+        return [x[0] for x in found], [x[2] for x in found]
 
     def groups(self, parts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """All groups of all parts as texts like a1,a2|b1; how many groups each part has, and its numbers of A and B tokens."""
@@ -133,7 +176,7 @@ class Pair:
         first = np.append(0, end[a_stop + b_stop - 1])
         last = np.append(0, a_end)[np.cumsum(a_n)]
         n_groups = np.diff(np.append(0, np.searchsorted(cuts, last, "right")))
-        return pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(first.astype(np.int64)), pa.py_buffer(data)), n_groups, a_n, b_n
+        return large_texts(first, data), n_groups, a_n, b_n
 
     def links(self, group: str) -> list[tuple[int, int, int]]:
         """(A id, B id, times) of all tokens of a group (a1,a2|b1;) whose byte ranges end together."""

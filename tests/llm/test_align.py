@@ -89,3 +89,57 @@ def test_links_of_a_group_with_several_common_ends(two):
 def test_tables_without_tokens(spark, rows):
     got = align.align(spark.createDataFrame(rows, "doc_id long, text string"), *FILES, common.work_dir(spark, "test")).collect()
     assert sorted((tuple(r) for r in got), key=str) == sorted(((i, 0, 0, 0, 0, 0, 0, "") for i, _ in rows), key=str)
+
+
+class Noted:
+    """A tokenizer that notes how many texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode(self, texts, **options):
+        self.given.append(len(texts))
+        return self.tokenizer.encode(texts, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.given.append(len(texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def alone(two, parts):
+    """The ids of each part, encoded by itself, if both give its bytes back."""
+    out = []
+    for t in parts:
+        a, b = two.a.encode(" " + t, add_special_tokens=False).ids, two.b.encode(t)
+        out.append((a, b) if b"".join(two.a_bytes[i] for i in a) == b"".join(two.b_bytes[i] for i in b) == (" " + t).encode() else ([], []))
+    return out
+
+
+def listed(two, parts):
+    import numpy as np
+    import pyarrow as pa
+
+    ids, n = two.encoded(pa.array(parts, pa.large_string()))
+    return list(zip(*([x.tolist() for x in np.split(flat, np.cumsum(k)[:-1])] for flat, k in zip(ids, n, strict=True)), strict=True))
+
+
+def test_parts_are_encoded_together(two, monkeypatch):
+    parts = [f"word{i}," for i in range(5000)]
+    want = alone(two, parts)
+    a, b = Noted(two.a), Noted(two.b)
+    monkeypatch.setattr(two, "a", a)
+    monkeypatch.setattr(two, "b", b)
+    assert listed(two, parts) == want
+    assert sum(a.given) == sum(b.given) <= 20  # texts of 4 kB; each of the 5000 parts was a text of its own before
+
+
+@pytest.mark.parametrize("together", [1, 30, 4096])
+def test_parts_beside_ones_that_do_not_come_back(two, monkeypatch, together):
+    monkeypatch.setattr(align, "TOGETHER", together)
+    ends = ["x▁y", "▁", "end ", " begin", "two\n", "\n", "three　", "　three", "nbsp\xa0", "x" * 5000, "日本語", "<s>", "<|endoftext|>", "-", "é", "\x85", "Ａ", "🙂"]
+    rng = random.Random(3)
+    parts = [*ends, *(rng.choice([*ends, *(f"w{i}" for i in range(30))]) for _ in range(600)), "x▁y"]
+    assert listed(two, parts) == alone(two, parts)
+    assert any(not a for a, _ in alone(two, parts))
+    assert listed(two, ["x▁y", "z"]) == alone(two, ["x▁y", "z"])
+    assert listed(two, ["x▁y"]) == [([], [])]
