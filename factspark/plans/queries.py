@@ -595,7 +595,10 @@ def page_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A web page for each order: a table of its lines, whose first column spans all of them, under a head that spans two columns."""
-    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"))).alias("x"))
+    # dealt before they are grouped, to all cores: the pages cost far more than the rows' size tells
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").repartition(tasks, "l_orderkey")
+    lines = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus"))).alias("x"))
     n = F.size("x").cast("string")
     first = F.concat(F.lit('<td rowspan="'), n, F.lit('">'), F.col("x")[0]["l_returnflag"], F.lit("<table><tr><td>inner</table></td>"))
     row = F.transform("x", lambda r, i: F.concat(F.lit("<tr>"), F.when(i == 0, first).otherwise(""), F.lit("<td>"), r["l_partkey"].cast("string"), F.lit("<td> by&nbsp;<b>"), r["l_linestatus"], F.lit("</b>\n&amp; co</tr>")))
@@ -608,8 +611,7 @@ SELECT l_orderkey AS page_id, CAST(0 AS INTEGER) AS position, 'Lines: ' || n ||
 FROM lineitem JOIN l USING (l_orderkey) GROUP BY l_orderkey, n""")
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables of web pages as evidence text; those that are no tables, like the one cell within a cell, are left out."""
-    source = spread(order_pages(spark, sf_dir), load(spark, sf_dir, "lineitem"))
-    found = source.select("page_id", F.filter(tables.html_tables("html"), pages.meaningful_table).alias("t"))
+    found = order_pages(spark, sf_dir).select("page_id", F.filter(tables.html_tables("html"), pages.meaningful_table).alias("t"))
     return found.select("page_id", F.posexplode("t").alias("position", "rows")).select("page_id", "position", pages.serialize_table(F.col("rows")).alias("text"))
 
 
