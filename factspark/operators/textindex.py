@@ -2,7 +2,7 @@
 
 A merge writes a segment, a folder seq=N in each table, and reads no older text:
   forward   id, length, terms (term, tf): what a document's removal has to take back
-  postings  term, block, df, max_tf, min_length, entries (id, tf, length), sorted by term; df is how many entries there are
+  postings  term, block, df, max_tf, min_length, entries (id, tf, length), each file sorted by term; df is how many entries there are
   terms     term, df: by how much the merge changed it       corpus  documents, length: the same
   gone      id: documents of older segments that the merge changed or deleted       bases     a row where the segment stands for all before it
 corpus is written last; a segment without it is no part of the index, so a merge that died is written again under its number.
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,11 +76,11 @@ class TextIndex:
     def write(self, df: DataFrame, name: str, seq: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.folder}/{name}/seq={seq}")
 
-    def live(self) -> DataFrame:
-        """The forward rows of documents as they are now."""
+    def live(self, *columns: str | Column) -> DataFrame:
+        """The id and other columns of the forward rows of documents as they are now."""
         gone = self.table("gone").select(F.col("id").alias("gone_id"), F.col("seq").alias("gone_seq"))
-        rows = self.table("forward")
-        return rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("gone_seq") > F.col("seq")), "left_anti")
+        rows = self.table("forward").select("id", "seq", *columns)
+        return rows.join(gone, (F.col("id") == F.col("gone_id")) & (F.col("gone_seq") > F.col("seq")), "left_anti").drop("seq")
 
     def merge(self, changed: DataFrame | None = None, deleted: DataFrame | None = None, id_col: str = "id", text_col: str = "text") -> int:
         """Adds or replaces documents (id, text) and removes others (id); returns the segment's number. Rows with a null id are left out; of several texts of
@@ -99,21 +100,22 @@ class TextIndex:
         touched = new.select("id")
         if deleted is not None:
             touched = touched.union(deleted.select(F.col(id_col).cast("long").alias("id"))).distinct()
-        old = self.live().join(touched, "id", "left_semi")
-        self.write(old.select("id"), "gone", seq)
+        self.write(self.live().join(touched, "id", "left_semi"), "gone", seq)
+        # terms travel as one text of them, and only if some are taken back
+        some = not self.spark.read.schema(SCHEMAS["gone"]).parquet(f"{self.folder}/gone/seq={seq}").isEmpty()
+        old = self.live("length", F.array_join("terms.term", " ").alias("words")).join(touched, "id", "left_semi") if some else None
         self.finish(new, old, seq)
         return seq
 
-    def finish(self, new: DataFrame, old: DataFrame, seq: int, base: bool = False) -> None:
-        """Postings and counts of a segment with new forward rows, which takes back old ones; a base stands for all segments before it."""
-        folder = shared_folder(self.spark, "postings")
-        # written before they are sorted, as ranges of terms are found by a pass of its own
-        postings = written(postings_of(new), f"{folder}/unsorted")
-        self.write(postings.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "postings", seq)
-        signed = new.select("length", F.lit(1).alias("sign")).union(old.select("length", F.lit(-1).alias("sign")))
-        lost = old.select(F.explode("terms.term").alias("term"), F.lit(-1).alias("n"))
-        self.write(postings.select("term", F.col("df").alias("n")).union(lost).groupBy("term").agg(F.sum("n").alias("df")).where("df <> 0"), "terms", seq)
-        removed(self.spark, folder)
+    def finish(self, new: DataFrame, old: DataFrame | None, seq: int, base: bool = False) -> None:
+        """Postings and counts of a segment with new forward rows, which takes back old ones (length, words); a base stands for all segments before it."""
+        self.write(postings_of(new).sortWithinPartitions("term", "block"), "postings", seq)
+        terms = self.spark.read.schema(SCHEMAS["postings"]).parquet(f"{self.folder}/postings/seq={seq}").select("term", "df")
+        signed = new.select("length", F.lit(1).alias("sign"))
+        if old is not None:
+            terms = terms.union(old.where("words <> ''").select(F.explode(F.split("words", " ")).alias("term"), F.lit(-1).alias("df")))
+            signed = signed.union(old.select("length", F.lit(-1).alias("sign")))
+        self.write(terms.groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0"), "terms", seq)
         if base:
             self.write(self.spark.range(1), "bases", seq)
         self.write(signed.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("documents"), F.coalesce(F.sum(F.col("sign") * F.col("length")), F.lit(0)).alias("length")), "corpus", seq)
@@ -121,10 +123,10 @@ class TextIndex:
     def compact(self) -> int:
         """Writes the live documents' rows as one segment and drops the others; no text is read."""
         seq, before = self.last() + 1, self.whole("corpus")
-        self.write(self.live().select("id", "length", "terms"), "forward", seq)
+        self.write(self.live("length", "terms"), "forward", seq)
         new = self.spark.read.schema(SCHEMAS["forward"]).parquet(f"{self.folder}/forward/seq={seq}")
         self.write(new.select("id").limit(0), "gone", seq)
-        self.finish(new, new.limit(0), seq, base=True)
+        self.finish(new, None, seq, base=True)
         for i in before:
             for name in ("corpus", "postings", "forward", "terms", "gone", "bases"):
                 removed(self.spark, f"{self.folder}/{name}/seq={i}")
@@ -242,12 +244,13 @@ def postings_of(forward: DataFrame) -> DataFrame:
     block = F.col("size") * (1 << 40) + F.pmod(F.xxhash64("id"), F.col("parts"))
 
     def lists(t: pa.Table) -> pa.Table:
-        terms = t["terms"].combine_chunks()
-        pairs, doc = terms.flatten(), np.repeat(np.arange(len(t)), terms.value_lengths().to_numpy(zero_copy_only=False))
-        coded = pairs.field("term").dictionary_encode()
+        tfs = t["tfs"].combine_chunks()
+        doc = np.repeat(np.arange(len(t)), tfs.value_lengths().to_numpy(zero_copy_only=False))
+        words = pc.split_pattern(t["words"].filter(pc.not_equal(t["words"], "")).combine_chunks(), " ").flatten()  # each word is a term once
+        coded = words.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
         order = np.argsort(code, kind="stable")
-        doc, tf = doc[order], pairs.field("tf").to_numpy(zero_copy_only=False)[order]
+        doc, tf = doc[order], tfs.flatten().to_numpy(zero_copy_only=False)[order]
         length, ids = (t[c].to_numpy()[doc] for c in ("length", "id"))
         at = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))])
         most, least = (f.reduceat(x, at[:-1]) if len(code) else np.zeros(0, np.int32) for f, x in ((np.maximum, tf), (np.minimum, length)))
@@ -256,4 +259,5 @@ def postings_of(forward: DataFrame) -> DataFrame:
         columns = [coded.dictionary, pa.array(blocks), pa.array(np.diff(at), pa.int32()), pa.array(most, pa.int32()), pa.array(least, pa.int32()), entries]
         return pa.table(columns, ["term", "block", "df", "max_tf", "min_length", "entries"])
 
-    return sized.join(F.broadcast(parts), "size").select("id", "length", "terms", block.alias("block")).groupBy("block").applyInArrow(lists, SCHEMAS["postings"])
+    words, tfs = F.array_join("terms.term", " ").alias("words"), F.col("terms.tf").alias("tfs")  # far fewer bytes to move than pairs
+    return sized.join(F.broadcast(parts), "size").select("id", "length", words, tfs, block.alias("block")).groupBy("block").applyInArrow(lists, SCHEMAS["postings"])
